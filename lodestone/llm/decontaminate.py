@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.shipping import ship
+
 #: Words of lower-cased UTF-8: digits, a to z and whatever isn't ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW = 10
@@ -160,6 +162,7 @@ def find_matches(docs: DataFrame, items: DataFrame, keep: list[str], window: int
     hits. Repeated rows are answered alike. Columns in keep must not be named like the new ones.
     """
     spark = docs.sparkSession
+    ship(spark)
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if size > MOST_BENCHMARK_BYTES:
         raise ValueError(f"the benchmark has {size} bytes; give at most {MOST_BENCHMARK_BYTES} at a time")

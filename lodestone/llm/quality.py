@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import crc_of_id
+from lodestone.shipping import ship
 
 CHUNK, STRIDE, KERNEL, FILTERS, DIM, HIDDEN = 512, 448, 6, 24, 8, 16
 PAD = 256  # stands for what is beyond a text's end
@@ -187,6 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: int =
 
     Rows with a null label or id, and labels without a text, are left out. No labels: see train().
     """
+    ship(docs.sparkSession)
     mod, out = HELD_OUT
     labels = labels.select("doc_id", F.col(column).cast("int").alias("_label"))
     usable = labels.filter((crc_of_id(mod) != out) & F.col("_label").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -213,6 +215,7 @@ def _scorer(network: Network):
 
 def classify(docs: DataFrame, network: Network, keep: list[str]) -> DataFrame:
     """The columns in keep, and score (double, 0 to 1) of each row's whole text; a null text scores as an empty one."""
+    ship(docs.sparkSession)
     chosen = docs.select(*keep, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("_bytes"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
     return chosen.mapInArrow(_scorer(network), f"{kinds}, score double")

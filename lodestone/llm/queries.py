@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import read
+from lodestone.llm.common import read, scratch
 from lodestone.llm.decontaminate import find_matches
 from lodestone.llm.mixing import mix
 from lodestone.llm.quality import classify, fit, held_out
 from lodestone.llm.sharding import shard
 from lodestone.llm.simhash import near_duplicates
+from lodestone.llm.substrings import remove_repeats
+from lodestone.llm.tokens import read_tokens, write_tokens
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +27,11 @@ def op3_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = scratch(spark, "tokens")
+    return read_tokens(write_tokens(read(spark, sf_dir, "documents"), uri), uri)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), ["doc_id"])
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
@@ -41,10 +48,16 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op3_quality_network": op3_quality_network,
+    "op4_simple8b_tokens": op4_simple8b_tokens,
     "op5_decontaminate": op5_decontaminate,
     "op8_shard_bytes": op8_shard_bytes,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut
+from lodestone.shipping import ship
 
 SHINGLE, BUDGET, SEED = 4, 4, 42
 #: Fingerprints that share the bits of a bucket meet in one task up to this number; more are dealt in pairs of parts.
@@ -47,6 +48,7 @@ def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
             found = np.array([fingerprint(t or b"") for t in b.column(b.num_columns - 1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found.view(np.int64), pa.int64())], [*b.schema.names[:-1], "_fp"])
 
+    ship(docs.sparkSession)
     chosen = docs.select(*keep, F.col("text").cast("binary").alias("_bytes"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]]
     return chosen.mapInArrow(run, ", ".join([*kinds, "_fp long"]))
@@ -123,7 +125,7 @@ def _tables(n: int, budget: int) -> list[tuple[int, list[tuple[int, int]]]]:
     while j < 4 and n >> (64 * j // (budget + j)) > 64:
         j += 1
     edges = [round(64 * i / (budget + j)) for i in range(budget + j + 1)]
-    blocks = [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+    blocks = [(a, b - a) for a, b in pairwise(edges)]
     return list(enumerate([list(c) for c in combinations(blocks, j)]))
 
 
@@ -184,7 +186,7 @@ def _join_buckets(budget: int):
         for b in batches:
             keys, fps = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
             starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else []
-            for s, e in zip(starts, [*starts[1:], len(keys)], strict=True):
+            for s, e in pairwise([*starts, len(keys)]):
                 if held_key is not None and keys[s] == held_key:
                     held = np.concatenate([held, fps[s:e]])
                 else:
@@ -226,7 +228,7 @@ def _join_parts(budget: int):
         for b in batches:
             key, i, j, part, fp = (c.to_numpy() for c in b.columns)
             starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))) if len(key) else []
-            for s, e in zip(starts, [*starts[1:], len(key)], strict=True):
+            for s, e in pairwise([*starts, len(key)]):
                 now = (int(key[s]), int(i[s]), int(j[s]))
                 if held_key is not None and now != held_key:
                     yield from close()
@@ -244,6 +246,7 @@ def links(distinct: DataFrame, n: int, budget: int = BUDGET) -> DataFrame:
 
     Not every pair: of each batch of buckets a spanning forest, so there are no more links than dealt fingerprints.
     """
+    ship(distinct.sparkSession)
     tables = _tables(n, budget)
     parts = max(4, -(-n * len(tables) // 200_000))
     dealt = distinct.select("_fp").mapInArrow(_deal(tables), "key long, fp long")

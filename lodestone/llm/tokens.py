@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import prefix_sums
+from lodestone.shipping import ship
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -258,6 +259,7 @@ def write_tokens(docs: DataFrame, uri: str, vocabulary: str | None = None, end_i
     are ordered by text. Empty table: no files.
     """
     spark = docs.sparkSession
+    ship(spark)
     raw = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("_bytes"))
     size = raw.agg(F.coalesce(F.sum(F.octet_length("_bytes") + 64), F.lit(0))).first()[0]
     dealt = raw.repartitionByRange(max(2, -(-size // PART_BYTES)), "doc_id", F.crc32("_bytes")).sortWithinPartitions("doc_id", F.crc32("_bytes"), "_bytes")
@@ -282,6 +284,7 @@ def read_tokens(files: DataFrame, uri: str) -> DataFrame:
                 sums = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(start + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
+    ship(files.sparkSession)
     total = files.count()
     dealt = files.select("file", "start").repartition(max(1, -(-total // 4)), "file")
     return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
