@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import read, scratch
 from lodestone.llm.decontaminate import find_matches
+from lodestone.llm.lm import score
 from lodestone.llm.mixing import mix
 from lodestone.llm.quality import classify, fit, held_out
 from lodestone.llm.sharding import shard
@@ -40,6 +41,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(read(spark, sf_dir, "documents"))
+
+
 def op8_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_network": op3_quality_network,
     "op4_simple8b_tokens": op4_simple8b_tokens,
     "op5_decontaminate": op5_decontaminate,
+    "op6_suffix_tree_scores": op6_suffix_tree_scores,
     "op8_shard_bytes": op8_shard_bytes,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
