@@ -73,3 +73,29 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: tuple[int, int
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size")).cast("long")).otherwise(0)
     part = F.greatest(F.lit(0), F.least(F.col("size"), budget - whole * F.col("source_size") - F.col("_before")))
     return with_goal.select("doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"))
+
+
+def mix_rows(docs: DataFrame, keep: Sequence[str], weights: Sequence[int] = WEIGHTS, share: tuple[int, int] = SHARE, epochs: int = MOST_EPOCHS, seed: str = "mix:") -> DataFrame:
+    """The mix itself: the columns in keep (text among them) of every document, a row for each time it is taken.
+
+    A document of size s of which the mix takes t words makes t // s whole rows, and if words are left over one row with
+    its first t % s words: the cut of its source's last run. Documents without words are not in the mix. n_chars, if kept, is that of the row's text. Only sizes are sorted and summed; texts are shuffled once, to
+    meet what is taken of them. Nulls and repeated rows as in mix(): rows that agree in doc_id, source and size share
+    alike what is taken of them, whichever of them comes first.
+    """
+    plan = mix(docs, weights, share, epochs, seed)
+    key = ["doc_id", "source", "size"]
+    # Rows that agree in the key are as good as each other: what they take is listed, most first, and dealt in order.
+    taken = plan.groupBy(*(F.col(k).alias(f"_{k}") for k in key)).agg(F.sort_array(F.collect_list("taken"), asc=False).alias("_taken"))
+    sized = docs.select(*keep, *(c for c in ("doc_id", "source") if c not in keep), word_count(F.col("text")).alias("size"))
+    numbered = sized.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text"))))
+    met = numbered.join(taken, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]).withColumn("_t", F.element_at("_taken", F.col("_n")))
+    whole = F.when(F.col("size") > 0, F.floor(F.col("_t") / F.col("size"))).otherwise(0).cast("int")
+    rest = F.when(F.col("size") > 0, F.col("_t") % F.col("size")).otherwise(0)
+    copies = F.concat(F.array_repeat(F.lit(0).cast("long"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+    each = met.withColumn("_words", F.explode(copies))
+    # The words before the cut, with what stands between them.
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")
+    text = F.when(F.col("_words") > 0, head).otherwise(F.col("text"))
+    out = {"text": text, "n_chars": F.length(text).cast("long")}
+    return each.select(*(out[c].alias(c) if c in out else F.col(c) for c in keep))
