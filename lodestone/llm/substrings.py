@@ -55,7 +55,7 @@ _ASK = [("a", "u8"), ("b", "u8"), ("doc", "i8"), ("loc", "i8"), ("q", "i8"), ("l
 
 def _pack(fields: list[tuple[str, str]], columns: dict[str, np.ndarray], tail: bytes = b"") -> bytes:
     n = len(columns[fields[0][0]])
-    parts = [np.ascontiguousarray(columns[f].astype("<" + k).view(np.uint8).reshape(n, -1).T).tobytes() for f, k in fields]
+    parts = [np.ascontiguousarray(columns[f].astype("<" + k).view(np.uint8).reshape(n, int(k[1])).T).tobytes() for f, k in fields]
     return zstandard.ZstdCompressor(1).compress(b"".join((n.to_bytes(8, "little"), *parts, tail)))
 
 
