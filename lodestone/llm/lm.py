@@ -17,6 +17,7 @@ their counts are, and what each word adds to a document goes back to it.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,11 +33,11 @@ from lodestone.llm.substrings import _all, _by_key, _pack, _rows, _split, _unpac
 from lodestone.shipping import ship
 
 HELD_OUT = 7, 2  # crc32 of the id mod 7 is 2
-#: Frequent words are looked for in about so many training texts, chosen by id; the list has at most WORDS of them. Which
-#: words are on it decides on cost and smoothing only: all are counted over all training texts.
-SAMPLE_TEXTS, WORDS = 2000, 4000
-DEPTH = 3
-RARE = 5e-5
+#: The list has at most WORDS words, each of which makes up at least OFTEN of some stretch of the training texts. Which
+#: words are on it decides on cost and smoothing only: all words are counted.
+WORDS, OFTEN = 2000, 1e-4
+DEPTH = 2
+RARE = 1e-4
 #: A context is retained if the Kullback-Leibler divergence (nats) of its next symbols from its parent's is above this,
 #: and above what so many samples give by chance.
 DIVERGENCE = 0.01
@@ -77,52 +78,38 @@ def packed(symbols: np.ndarray, begins: np.ndarray, depth: int, bits: int) -> np
 
 @dataclass
 class Tree:
-    """A probabilistic suffix tree. counts[d], pairs[d]: counts of (context of d symbols, next) in packed order."""
+    """A probabilistic suffix tree: of each depth its retained contexts, and counts of (context, next) in packed order."""
 
-    bits: int
     root: np.ndarray
     contexts: list[np.ndarray]
-    totals: list[np.ndarray]  # 0 where a context isn't retained
+    totals: list[np.ndarray]
     pairs: list[np.ndarray]
     counts: list[np.ndarray]
-    prior: float
-
-    def chance(self, keys: np.ndarray, upto: int | None = None) -> np.ndarray:
-        """The probability of each key's last symbol after the symbols before it."""
-        mask = (1 << self.bits) - 1
-        p = self.root[keys & mask]
-        open_ = np.arange(len(keys))
-        for d in range(1, len(self.contexts) if upto is None else upto + 1):
-            if not len(self.contexts[d]) or not len(open_):
-                break
-            pair = keys[open_] & ((1 << self.bits * (d + 1)) - 1)
-            context = pair >> self.bits
-            at = np.minimum(np.searchsorted(self.contexts[d], context), len(self.contexts[d]) - 1)
-            found = self.contexts[d][at] == context  # else no longer context was frequent either
-            open_, at, pair = open_[found], at[found], pair[found]
-            total = self.totals[d][at]
-            own = total > 0
+
+    def chance(self, keys: np.ndarray) -> np.ndarray:
+        """The probability of each key's last symbol by the longest retained suffix of the symbols before it."""
+        p = self.root[keys & ((1 << BITS) - 1)]
+        for d in range(1, len(self.contexts)):
+            if not len(self.contexts[d]):
+                continue
+            pair = keys & ((1 << BITS * (d + 1)) - 1)
+            at = np.minimum(np.searchsorted(self.contexts[d], pair >> BITS), len(self.contexts[d]) - 1)
+            own = np.flatnonzero(self.contexts[d][at] == pair >> BITS)
             place = np.minimum(np.searchsorted(self.pairs[d], pair[own]), len(self.pairs[d]) - 1)
             seen = np.where(self.pairs[d][place] == pair[own], self.counts[d][place], 0)
-            p[open_[own]] = (seen + self.prior * p[open_[own]]) / (total[own] + self.prior)
+            p[own] = (seen + PRIOR * p[own]) / (self.totals[d][at[own]] + PRIOR)
         return p
 
 
-def build(levels: list[tuple[np.ndarray, np.ndarray]], symbols: int, bits: int, divergence: float = DIVERGENCE, prior: float = PRIOR) -> Tree:
-    """levels[d]: packed (context of d symbols, next symbol) of the frequent contexts, ascending, and their counts."""
+def build(levels: list[tuple[np.ndarray, np.ndarray]], symbols: int) -> Tree:
+    """levels[d]: packed (context of d symbols, next symbol) of the retained contexts, ascending, and their counts."""
     root = np.ones(symbols)
-    if len(levels[0][0]):
-        root[levels[0][0]] += levels[0][1]
-    tree = Tree(bits, root / root.sum(), [np.empty(0, np.int64)], [np.empty(0)], [np.empty(0, np.int64)], [np.empty(0)], prior)
-    for d, (keys, n) in enumerate(levels[1:], 1):
-        contexts, where = np.unique(keys >> bits, return_inverse=True)
-        total = np.bincount(where, n, len(contexts)) if len(keys) else np.empty(0)
-        kinds = np.bincount(where, minlength=len(contexts))
-        share = n / total[where] if len(keys) else np.empty(0)
-        apart = np.bincount(where, share * np.log(share / tree.chance(keys, d - 1)), len(contexts)) if len(keys) else np.empty(0)
-        keep = apart > np.maximum(divergence, 0.5 * kinds * np.log(np.maximum(total, 2)) / np.maximum(total, 1))
+    root[levels[0][0]] += levels[0][1]
+    tree = Tree(root / root.sum(), [np.empty(0, np.int64)], [np.empty(0)], [np.empty(0, np.int64)], [np.empty(0)])
+    for keys, n in levels[1:]:
+        contexts, where = np.unique(keys >> BITS, return_inverse=True)
         tree.contexts.append(contexts)
-        tree.totals.append(np.where(keep, total, 0.0))
+        tree.totals.append(np.bincount(where, n, len(contexts)).astype(np.float64))
         tree.pairs.append(keys)
         tree.counts.append(n.astype(np.float64))
     return tree
@@ -175,25 +162,32 @@ def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[boo
         yield ids, held, texts
 
 
-def _counter(words: dict[bytes, int]):
+def _counter(words: dict[bytes, int], depth: int, contexts):
+    """Counts of (context of depth symbols, next symbol), of all contexts or of those in a broadcast ascending array."""
     end, begin = len(words) + 1, len(words) + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, texts in _flushes(batches):
-            symbols, begins = _symbols(texts, words, end, begin)
-            keys, n = distinct(packed(symbols, begins, DEPTH, BITS))
+            keys = packed(*_symbols(texts, words, end, begin), DEPTH, BITS) & ((1 << BITS * (depth + 1)) - 1)
+            if contexts is not None:
+                wanted = contexts.value
+                at = np.minimum(np.searchsorted(wanted, keys >> BITS), max(0, len(wanted) - 1))
+                keys = keys[wanted[at] == keys >> BITS] if len(wanted) else keys[:0]
+            keys, n = distinct(keys)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
 
     return run
 
 
-def _top_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words that make up at least OFTEN of a stretch of texts. A word so frequent in all is so in some stretch."""
     for _, _, texts in _flushes(batches):
-        found: dict[bytes, int] = {}
+        found = Counter()
         for t in texts:
-            for w in t:
-                found[w] = found.get(w, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+            found.update(t)
+        least = max(3, OFTEN * found.total())
+        some = [(w, n) for w, n in found.items() if n >= least]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.binary()), pa.array([n for _, n in some], pa.int64())], ["word", "n"])
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
@@ -201,26 +195,43 @@ def _prepared(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_of_id(mod) == out).alias("held"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("_bytes"))
 
 
+def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    key, n = (table.column(c).to_numpy() for c in ("key", "n"))
+    order = np.argsort(key)
+    return key[order], n[order]
+
+
 def learn(docs: DataFrame) -> Model:
     """Count over all texts that aren't held out, and build the trees."""
     ship(docs.sparkSession)
     train = _prepared(docs).filter(~F.col("held"))
-    every = max(1, train.count() // SAMPLE_TEXTS)
-    sample = train.filter(F.coalesce(F.crc32(F.concat(F.lit("words:"), F.col("doc_id").cast("string")).cast("binary")), F.lit(0)) % every == 0)
-    counted = sample.mapInArrow(_top_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 2")
+    counted = train.mapInArrow(_often, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.col("n").desc(), "word").limit(WORDS).collect()
     words = {bytes(r["word"]): i for i, r in enumerate(sorted(top, key=lambda r: bytes(r["word"])), 1)}
-    grams = cut(train.mapInArrow(_counter(words), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
-    size = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    level = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.col("key").bitwiseAND(F.lit((1 << BITS * (d + 1)) - 1)).alias("key")) for d in range(DEPTH + 1))))
-    each = grams.select(level.alias("x"), "n").groupBy("x.d", "x.key").agg(F.sum("n").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("d", F.shiftright("key", BITS)))
-    # At most DEPTH / RARE contexts can be frequent enough, however large the corpus.
-    got = each.withColumn("total", total).filter(F.col("total") >= RARE * size).select("d", "key", "n").toPandas().sort_values(["d", "key"])
-    levels = [(got.loc[got["d"] == d, "key"].to_numpy(np.int64), got.loc[got["d"] == d, "n"].to_numpy(np.int64)) for d in range(DEPTH + 1)]
+    levels: list[tuple[np.ndarray, np.ndarray]] = []
+    contexts, size, above = None, 0, None
+    for depth in range(1, DEPTH + 1):
+        # Of depth 1 there are at most (WORDS + 2)^2 counts; then only contexts frequent enough are counted, at most
+        # 1 / RARE of a depth, however large the corpus.
+        counts = train.mapInArrow(_counter(words, depth, contexts), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        grams = cut(counts.withColumn("total", F.sum("n").over(Window.partitionBy(F.shiftright("key", BITS)))))
+        if depth == 1:
+            single = grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << BITS) - 1)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+            levels.append(_sorted(single))
+            size = int(levels[0][1].sum())
+            above = grams.sparkSession.createDataFrame(list(zip(*(x.tolist() for x in levels[0]), [size] * len(levels[0][0]), strict=True)), "key long, n long, total long")
+        parent = above.select(F.col("key").alias("_key"), F.col("n").alias("_n"), F.col("total").alias("_total"))
+        met = grams.filter(F.col("total") >= RARE * size).join(parent, F.col("key").bitwiseAND(F.lit((1 << BITS * depth) - 1)) == F.col("_key"))
+        share = F.col("n") / F.col("total")
+        tested = met.groupBy(F.shiftright("key", BITS).alias("context")).agg(F.sum(share * F.log(share / (F.col("_n") / F.col("_total")))).alias("apart"), F.count("*").alias("kinds"), F.max("total").alias("total"))
+        kept = tested.filter(F.col("apart") > F.greatest(F.lit(DIVERGENCE), 0.5 * F.col("kinds") * F.log("total") / F.col("total"))).select("context")
+        levels.append(_sorted(grams.join(kept, F.shiftright("key", BITS) == F.col("context"), "left_semi").select("key", "n").toArrow()))
+        if depth < DEPTH:
+            longer = np.sort(grams.filter(F.col("n") >= max(1, RARE * size)).select("key").toArrow().column("key").to_numpy())
+            contexts, above = docs.sparkSession.sparkContext.broadcast(longer), grams
     counts = np.zeros(len(words) + 2, np.int64)
     counts[levels[0][0]] = levels[0][1]
-    return Model(words, counts, build(levels, len(words) + 2, BITS), int(size), int(counts[OTHER]))
+    return Model(words, counts, build(levels, len(words) + 2), int(size), int(counts[OTHER]))
 
 
 def _scorer(model: Model, buckets: int):

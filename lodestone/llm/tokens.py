@@ -26,7 +26,7 @@ FILE_IDS = 2_000_000
 #: Text of a range partition, which one task writes.
 PART_BYTES = 24 << 20
 #: A worker remembers the ids of so many pieces of text, and begins anew when it has more.
-REMEMBERED = 1_200_000
+REMEMBERED = 900_000
 
 MAGIC = b"LS8B\x01\x00\x00\x00"
 HEADER = struct.Struct("<8sQQQ")  # magic, documents, ids, words
@@ -190,7 +190,7 @@ class Encoder(dict):
         if found is None:
             tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))
             found = np.array([t.id for t in tokens], "<u4").tobytes()
-            if len(self.parts) >= REMEMBERED:
+            if 2 * len(self.parts) >= REMEMBERED:
                 self.parts.clear()
             self.parts[part] = found
         return found
