@@ -96,24 +96,23 @@ def fingerprint(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def next_rows(ids: DataFrame) -> DataFrame:
-    """For each (doc_id, n_chars): the one after it in descending order of doc_id, after the last the first.
+    """For each distinct (doc_id, tie): the one after it in descending order, after the last the first.
 
-    Returns prev_id, prev_n, next_id, next_n; n tells rows of one id apart, counting from 1. Only ids are moved: they are
-    dealt by range, and each range looks no further than the first row of the next range that has any.
+    Returns prev_id, prev_tie, prev_chars, next_id, next_tie. Only ids are moved: they are dealt by range, and each range
+    looks no further than the first row of the next range that has any.
     """
     dealt = ranged(ids, ["doc_id", "tie"])
     down = [F.col("doc_id").desc_nulls_last(), F.col("tie").desc()]
-    numbered = dealt.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("tie")))
-    row = F.struct("doc_id", "n")
-    here = numbered.select("_part", "doc_id", "n", "n_chars", F.lead(row).over(Window.partitionBy("_part").orderBy(*down)).alias("_next"))
+    row = F.struct("doc_id", "tie")
+    here = dealt.select("_part", "doc_id", "tie", "n_chars", F.lead(row).over(Window.partitionBy("_part").orderBy(*down)).alias("_next"))
     # One row a range: its first in descending order, and that of the range below it.
-    order = F.struct(F.col("doc_id").isNotNull().alias("a"), F.col("doc_id").alias("b"), F.col("tie").alias("c"), F.col("n").alias("d"))
-    firsts = numbered.groupBy("_part").agg(F.max_by(row, order).alias("_first"))
-    after = firsts.select(
-        F.col("_part").alias("_p"), F.coalesce(F.lead("_first").over(Window.orderBy(F.col("_part").desc())), F.first("_first").over(Window.orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_after")
-    )
+    order = F.struct(F.col("doc_id").isNotNull().alias("a"), F.col("doc_id").alias("b"), F.col("tie").alias("c"))
+    firsts = dealt.groupBy("_part").agg(F.max_by(row, order).alias("_first"))
+    below = Window.orderBy(F.col("_part").desc())
+    top = F.first("_first").over(below.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    after = firsts.select(F.col("_part").alias("_p"), F.coalesce(F.lead("_first").over(below), top).alias("_after"))
     joined = here.join(after, F.col("_part") == F.col("_p")).withColumn("_to", F.coalesce("_next", "_after"))
-    return joined.select(F.col("doc_id").alias("prev_id"), F.col("n").alias("prev_n"), F.col("n_chars").alias("prev_chars"), F.col("_to.doc_id").alias("next_id"), F.col("_to.n").alias("next_n"))
+    return joined.select(F.col("doc_id").alias("prev_id"), F.col("tie").alias("prev_tie"), F.col("n_chars").alias("prev_chars"), F.col("_to.doc_id").alias("next_id"), F.col("_to.tie").alias("next_tie"))
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
@@ -121,27 +120,37 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many (or all) of the next
     document in descending doc_id, after the last by those of the first. Returns doc_id, n_chars, edited_sha256,
-    fingerprint, edited_fingerprint, near_edited and near_next.
+    fingerprint, edited_fingerprint, near_edited, near_next and next_id.
 
-    Texts are shuffled by id once; to the document before goes only as much of a text as its edit takes, and its vector.
+    Texts are shuffled by id once, and both joins read that one shuffle; to the document before goes only as much of a
+    text as its edit takes, and its vector.
 
     Nulls: a null text is empty; null ids come after all others. Rows of equal id follow one another by a hash of their
-    text, equal rows in any order. A single row is its own next. Empty table: no rows. Only doc_id and text are looked at.
+    text; equal rows follow one another, so that all but the last have their like as the next. A single row is its own
+    next. Empty table: no rows. Only doc_id and text are looked at.
     """
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    texts = texts.withColumn("tie", F.xxhash64("text")).withColumn("n_chars", F.length("text").cast("long"))
-    order = cut(next_rows(texts.select("doc_id", "tie", "n_chars")))
-    # n is numbered by the same order here, in the exchange that the joins by id need anyway.
-    numbered = texts.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("tie"))).drop("tie")
-    asked = order.select("next_id", "next_n", "prev_id", "prev_n", "prev_chars")
-    given = numbered.join(asked, F.col("doc_id").eqNullSafe(F.col("next_id")) & (F.col("n") == F.col("next_n"))).select(
-        "prev_id", "prev_n", F.substring(F.col("text"), F.lit(1), F.floor(F.col("prev_chars") / 3).cast("int")).alias("_head"), vector(F.col("text")).alias("_next_vector")
-    )
-    met = numbered.join(given, F.col("doc_id").eqNullSafe(F.col("prev_id")) & (F.col("n") == F.col("prev_n")))
-    kept = F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int"))
-    edited = met.select("doc_id", "n_chars", "_next_vector", F.col("text"), F.concat(kept, F.col("_head")).alias("_edited"))
-    seen = edited.select("doc_id", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), vector(F.col("text")).alias("_v"), vector(F.col("_edited")).alias("_e"), "_next_vector")
+    texts = texts.withColumn("tie", F.xxhash64("text"))
+    ids = cut(texts.groupBy("doc_id", "tie").agg(F.max(F.length("text")).cast("long").alias("n_chars"), F.count("*").alias("copies")))
+    repeated = (ids.agg(F.max("copies")).first()[0] or 0) > 1
+    order = cut(next_rows(ids.drop("copies")))
+    third = F.floor(F.col("prev_chars") / 3).cast("int")
+    asked = texts.join(order, F.col("doc_id").eqNullSafe(F.col("next_id")) & (F.col("tie") == F.col("next_tie")))
+    given = asked.select("prev_id", "prev_tie", F.col("doc_id").alias("next_id"), F.substring(F.col("text"), F.lit(1), third).alias("_head"), vector(F.col("text")).alias("_next_vector"))
+    if repeated:  # the next row may be there more than once, and is the same each time
+        given = given.dropDuplicates(["prev_id", "prev_tie"])
+    met = texts.join(given, F.col("doc_id").eqNullSafe(F.col("prev_id")) & (F.col("tie") == F.col("prev_tie")))
+    n = F.length("text").cast("long")
+    head, next_vector, next_id = F.col("_head"), F.col("_next_vector"), F.col("next_id")
+    if repeated:
+        met = met.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "tie").orderBy("tie")))
+        head = F.when(F.col("_copy") > 1, F.substring(F.col("text"), F.lit(1), F.floor(n / 3).cast("int"))).otherwise(head)
+        next_vector = F.when(F.col("_copy") > 1, vector(F.col("text"))).otherwise(next_vector)
+        next_id = F.when(F.col("_copy") > 1, F.col("doc_id")).otherwise(next_id)
+    kept = F.substring(F.col("text"), F.lit(1), (n - F.floor(n / 3)).cast("int"))
+    edited = met.select("doc_id", "text", n.alias("n_chars"), F.concat(kept, head).alias("_edited"), next_vector.alias("_n"), next_id.alias("next_id"))
+    seen = edited.select("doc_id", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), vector(F.col("text")).alias("_v"), vector(F.col("_edited")).alias("_e"), "_n", "next_id")
     return seen.select(
         "doc_id", "n_chars", "edited_sha256", shown(F.col("_v")).alias("fingerprint"), shown(F.col("_e")).alias("edited_fingerprint"),
-        likeness(F.col("_v"), F.col("_e")).alias("near_edited"), likeness(F.col("_v"), F.col("_next_vector")).alias("near_next"),
+        likeness(F.col("_v"), F.col("_e")).alias("near_edited"), likeness(F.col("_v"), F.col("_n")).alias("near_next"), "next_id",
     )
