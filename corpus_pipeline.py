@@ -24,7 +24,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the smallest id; of equal ids one row."""
-    return near_duplicates(docs, COLUMNS).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*COLUMNS).dropDuplicates(["doc_id"])
+    found = near_duplicates(docs, ["doc_id"]).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # Only ids go through the join; the texts are shuffled once, to meet those that stay.
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    stay = found.select(key.alias("_key")).distinct()
+    return docs.select(*COLUMNS, key.alias("_key")).join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,16 +33,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import scratch
+from lodestone.llm.common import release, scratch
 from lodestone.shipping import ship
 
 WIDTH, KGRAM = 100, 16
 #: Text that is cut into runs at once; longer texts are cut in pieces, whose windows are those that begin in the piece.
-PIECE = 1 << 21
+PIECE = 1 << 20
 #: A file of texts holds so much text, or so many runs, if no single document is larger.
-FILE_BYTES, FILE_RUNS = 16 << 20, 600_000
+FILE_BYTES, FILE_RUNS = 8 << 20, 300_000
 #: Suffixes of a bucket.
-BUCKET = 500_000
+BUCKET = 250_000
 SAMPLED_TEXTS, SAMPLED_SUFFIXES = 400, 200
 
 KINDS = "kind int, at long, data binary"
@@ -248,6 +248,7 @@ def _reader(uri: str, splitters: np.ndarray, width: int):
             rows = [(MARK, file, b""), *_split(_RUN, sent, np.searchsorted(splitters, sent["a"], "right"), RUNS)]
             keys.clear(), texts.clear(), found.clear()
             held, many, serial = 0, 0, serial + 1
+            release()
             return _rows(rows)
 
         for b in batches:
@@ -275,6 +276,7 @@ def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
             if held and key != held_key:
                 yield held_key, held
                 held = []
+                release()
             held_key = key
             held.append((kind, data.as_py()))
     if held:

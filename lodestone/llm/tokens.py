@@ -15,18 +15,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import prefix_sums
+from lodestone.llm.common import prefix_sums, release
 from lodestone.shipping import ship
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 BLOCK = 1024
 #: A file is closed when it holds so many ids; a longer document still goes into one file.
-FILE_IDS = 2_000_000
+FILE_IDS = 1_000_000
+#: Blocks that are packed at once.
+AT_ONCE = 256
 #: Text of a range partition, which one task writes.
 PART_BYTES = 24 << 20
-#: A worker remembers the ids of so many pieces of text, and begins anew when it has more.
-REMEMBERED = 900_000
+#: A worker remembers the ids of so many pieces of text: when half as many are new, those not met since the last time go.
+REMEMBERED = 800_000
 
 MAGIC = b"LS8B\x01\x00\x00\x00"
 HEADER = struct.Struct("<8sQQQ")  # magic, documents, ids, words
@@ -128,7 +130,10 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
 
 def to_file(keys: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     """A file's bytes: header; keys (int64), null flags (bytes, padded to 8) and lengths (uint64) of documents; offsets of blocks (uint64); words."""
-    words, offsets = pack(ids.astype(np.uint64))
+    packed = [pack(ids[at : at + AT_ONCE * BLOCK].astype(np.uint64)) for at in range(0, len(ids), AT_ONCE * BLOCK)]
+    before = np.cumsum([0, *(len(w) for w, _ in packed)])
+    words = np.concatenate([w for w, _ in packed]) if packed else np.empty(0, np.uint64)
+    offsets = np.concatenate([o + at for (_, o), at in zip(packed, before, strict=False)]) if packed else np.empty(0, np.int64)
     null = np.zeros(-(-len(keys) // 8) * 8, np.uint8)
     null[: len(keys)] = [k is None for k in keys]
     return b"".join((HEADER.pack(MAGIC, len(keys), len(ids), len(words)), np.array([k or 0 for k in keys], "<i8").tobytes(), null.tobytes(), np.array(lengths, "<u8").tobytes(), offsets.astype("<u8").tobytes(), words.astype("<u8").tobytes()))
@@ -168,31 +173,42 @@ class Encoder(dict):
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        self.older: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.older_parts: dict[str, bytes] = {}
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level letters: the rest follow from 256 on
         rest = iter(range(256, 512))
         self.letters = {b: b if b in plain else next(rest) for b in range(256)}
 
     def __missing__(self, piece: bytes) -> bytes:
-        text = piece.decode("utf-8", "replace")
-        if max(text) < "ɐ" and "İ" not in text and "<|" not in text:
-            text = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
-            found = b"".join(self.part(p) for p in self.PATTERN.findall(text))
-        else:
-            found = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= REMEMBERED:
+        found = self.older.get(piece)
+        if found is None:
+            found = self.pieces(piece.decode("utf-8", "replace"))
+        if 2 * len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
         self[piece] = found
         return found
 
+    def pieces(self, text: str) -> bytes:
+        if text.isascii() or max(text) < "ɐ" and "İ" not in text:
+            if "<|" not in text:
+                text = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
+                if text.isalpha():  # letters only are one part
+                    return self.parts.get(text) or self.part(text)
+                if text[-1] in ".,!?;:" and text[:-1].isalpha():
+                    return (self.parts.get(text[:-1]) or self.part(text[:-1])) + (self.parts.get(text[-1]) or self.part(text[-1]))
+                return b"".join([self.parts.get(p) or self.part(p) for p in self.PATTERN.findall(text)])
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def part(self, part: str) -> bytes:
-        found = self.parts.get(part)
+        found = self.older_parts.get(part)
         if found is None:
             tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))
-            found = np.array([t.id for t in tokens], "<u4").tobytes()
-            if 2 * len(self.parts) >= REMEMBERED:
-                self.parts.clear()
-            self.parts[part] = found
+            found = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        if 4 * len(self.parts) >= REMEMBERED:
+            self.older_parts, self.parts = self.parts, {}
+        self.parts[part] = found
         return found
 
     def encode(self, text: bytes) -> bytes:
@@ -233,6 +249,7 @@ def _writer(uri: str, path: str | None, end_id: int):
             files.move(f"{folder}/.{name}.{attempt}", f"{folder}/{name}")  # a task that runs again writes the same
             row = pa.RecordBatch.from_pylist([{"part": part, "serial": serial, "file": name, "docs": len(keys), "ids": held, "bytes": len(raw)}])
             keys, lengths, ids, held, serial = [], [], [], 0, serial + 1
+            release()
             return row
 
         for b in batches:
@@ -275,6 +292,7 @@ def read_tokens(files: DataFrame, uri: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, folder = _filesystem(uri)
+        _encoder.cache_clear()  # a worker that wrote has no more need of what it remembers
         for b in batches:
             for name, start in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 with source.open_input_stream(f"{folder}/{name}") as f:
