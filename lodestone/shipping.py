@@ -10,8 +10,18 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Rows that Spark hands to Python at once, unless the session says otherwise.
+ROWS_PER_BATCH = 2000
+
+
 def ship(spark: SparkSession) -> None:
-    """Add a zip of the package's modules to the session's context, once; Spark hands it to every executor."""
+    """Make a session ready for this package's Python steps.
+
+    A zip of the package's modules is added to the session's context, once; Spark hands it to every executor. Rows come
+    in batches of ROWS_PER_BATCH where the session has Spark's default of 10,000, which texts make too large.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's default; texts are long rows
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     context = spark.sparkContext
     if getattr(context, "_lodestone_shipped", False):
         return
