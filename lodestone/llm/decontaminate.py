@@ -36,6 +36,7 @@ class Benchmark:
     names: list[str]
     of: np.ndarray  # items that have the windows, by window:
     of_first: np.ndarray  # of[of_first[w]:of_first[w + 1]]
+    order: np.ndarray  # the suffix array of tokens
 
 
 def benchmark(items: list[tuple[object, str | None]], window: int = WINDOW) -> Benchmark:
@@ -52,12 +53,19 @@ def benchmark(items: list[tuple[object, str | None]], window: int = WINDOW) -> B
             found.setdefault(tuple(ids[at : at + size]), (len(tokens) + at, set()))[1].add(number["null" if i is None else str(i)])
         tokens += [*ids, 0]
     owners = [sorted(x[1]) for x in found.values()]
+    text = np.array([*tokens, 0], np.int64)
     return Benchmark(
-        vocabulary, np.array([*tokens, 0], np.int64), np.array([x[0] for x in found.values()], np.int64), np.array([len(k) for k in found], np.int64), names,
-        np.array([o for x in owners for o in x], np.int64), np.cumsum([0, *map(len, owners)]),
+        vocabulary, text, np.array([x[0] for x in found.values()], np.int64), np.array([len(k) for k in found], np.int64), names,
+        np.array([o for x in owners for o in x], np.int64), np.cumsum([0, *map(len, owners)]), suffix_array(text, to_end(text)),
     )
 
 
+def to_end(text: np.ndarray) -> np.ndarray:
+    """Words from each place to the next 0."""
+    ends = np.flatnonzero(text == 0)
+    return ends[np.searchsorted(ends, np.arange(len(text)))] - np.arange(len(text))
+
+
 def suffix_array(text: np.ndarray, rest: np.ndarray) -> np.ndarray:
     """Starts of all suffixes in order, by prefix doubling. rest: words from each place to the 0 that ends its suffix."""
     at = np.flatnonzero(rest)
@@ -98,6 +106,21 @@ def _side(text: np.ndarray, suffixes: np.ndarray, pattern: np.ndarray, starts: n
     return low
 
 
+def _longest(bench: Benchmark, text: np.ndarray, places: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """The words that each place shares with the test suffix most like it: one of its two neighbours in their order."""
+    at = _side(bench.tokens, bench.order, text, places, rest, False)
+    best = np.zeros(len(places), np.int64)
+    for neighbour in (at - 1, at):
+        alive = np.flatnonzero((neighbour >= 0) & (neighbour < len(bench.order)))
+        other, length = bench.order[np.clip(neighbour, 0, max(0, len(bench.order) - 1))], np.zeros(len(places), np.int64)
+        while alive.size:
+            mine, theirs = text[places[alive] + length[alive]], bench.tokens[other[alive] + length[alive]]
+            alive = alive[(mine == theirs) & (mine != 0)]
+            length[alive] += 1
+        best = np.maximum(best, length)
+    return best
+
+
 def search(texts: list[bytes], bench: Benchmark) -> list[tuple[int, int, list[str], int, int]]:
     """For each text: words, words hit, names of items with a window in it, longest verbatim match in words, its place.
 
@@ -114,7 +137,7 @@ def search(texts: list[bytes], bench: Benchmark) -> list[tuple[int, int, list[st
     longest, longest_at = np.zeros(len(texts), np.int64), np.full(len(texts), -1, np.int64)
     if len(bench.starts):
         ends = np.flatnonzero(text == 0)
-        rest = ends[np.searchsorted(ends, np.arange(len(text)))] - np.arange(len(text))
+        rest = to_end(text)
         run = ends - np.concatenate(([-1], ends[:-1])) - 1
         rest[np.repeat(run < bench.lengths.min(), run + 1)] = 0
         suffixes = suffix_array(text, rest)
@@ -132,12 +155,9 @@ def search(texts: list[bytes], bench: Benchmark) -> list[tuple[int, int, list[st
         doc = np.searchsorted(first, places, "right") - 1
         for d, w in np.unique(np.stack([doc, asked[which]], 1), axis=0).tolist():
             named[d].update(bench.of[bench.of_first[w] : bench.of_first[w + 1]].tolist())
-        alive = np.arange(len(places))  # matches that still go on, word by word
-        length = lengths[which]
-        while alive.size:
-            mine, theirs = text[np.minimum(places[alive] + length[alive], len(text) - 1)], bench.tokens[starts[which[alive]] + length[alive]]
-            alive = alive[(mine == theirs) & (mine != 0)]
-            length[alive] += 1
+        places = np.unique(places)
+        doc = np.searchsorted(first, places, "right") - 1
+        length = _longest(bench, text, places, rest[places])
         order = np.lexsort((-places, length))  # the longest last; of equals, the first place
         longest[doc[order]], longest_at[doc[order]] = length[order], places[order] - first[doc[order]]
     covered = np.cumsum(hit) > 0
@@ -154,7 +174,7 @@ def find_matches(docs: DataFrame, items: DataFrame, keep: list[str], window: int
     """The columns in keep of every row of docs, and what the benchmark shares with its whole text.
 
     n_words, n_hit: words, and words inside any occurrence of a window; items: sorted names of the items with a window in
-    the text; longest, longest_at: the longest verbatim match that begins with a window, in words, and its first place
+    the text; longest, longest_at: the longest verbatim match from where a window begins, in words, and its first place
     (-1: none). Every shard of documents gets a suffix array, in which all the benchmark's windows are searched; nothing
     is shuffled, so no passage, however common, makes a large group.
 

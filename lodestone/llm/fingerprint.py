@@ -75,7 +75,10 @@ def shown(v: Column) -> Column:
 
 
 def likeness(one: Column, other: Column) -> Column:
-    """From 0 to 1; 1 for equal vectors. Of texts of 2^16 paragraphs or more the lanes are too short, and equality is all it tells."""
+    """From 0 to 1; 1 for equal vectors. Of texts of 2^16 paragraphs or more the lanes are too short, and equality is all it tells.
+
+    Give columns that hold vectors, not vector() itself: Spark may confuse the variables of functions that are nested so deep.
+    """
 
     def signs(v: Column) -> Column:
         return F.transform(F.slice(v, 2 + EXACT, LIKE), lambda x: (2 * x - v[0]).cast("double"))
