@@ -77,7 +77,8 @@ def shown(v: Column) -> Column:
 def likeness(one: Column, other: Column) -> Column:
     """From 0 to 1; 1 for equal vectors. Of texts of 2^16 paragraphs or more the lanes are too short, and equality is all it tells.
 
-    Give columns that hold vectors, not vector() itself: Spark may confuse the variables of functions that are nested so deep.
+    Give columns that hold vectors, and don't call a result in the same select by the name of one of them: Spark would
+    take the result for the vector.
     """
 
     def signs(v: Column) -> Column:

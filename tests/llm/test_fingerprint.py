@@ -51,8 +51,8 @@ def test_likeness(spark):
     lines = [f"line number {i} of it" for i in range(60)]
     df = spark.createDataFrame([("\n".join(lines), "\n".join(lines[:40] + [f"new {i}" for i in range(20)]), "\n".join(f"other {i}" for i in range(60)))], "a string, b string, c string")
     held = df.select(*(vector(F.col(x)).alias(x) for x in "abc"))
-    r = held.select(*(likeness(F.col("a"), F.col(x)).alias(x) for x in "abc")).first()
-    assert r["a"] == 1.0 and abs(r["b"] - 2 / 3) < 0.25 and r["c"] < 0.3
+    r = held.select(*(likeness(F.col("a"), F.col(x)).alias(f"like_{x}") for x in "abc")).first()
+    assert r["like_a"] == 1.0 and abs(r["like_b"] - 2 / 3) < 0.25 and r["like_c"] < 0.3
 
 
 def test_odd_rows(odd, none, odd_rows):
