@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import crc_of_id
 from lodestone.shipping import ship
 
-CHUNK, STRIDE, KERNEL, FILTERS, DIM, HIDDEN = 512, 448, 6, 24, 8, 16
+CHUNK, STRIDE, KERNEL, FILTERS, DIM, HIDDEN = 512, 448, 6, 32, 8, 16
 PAD = 256  # stands for what is beyond a text's end
 SPAN = CHUNK + KERNEL - 1
 HELD_OUT = 3, 1  # crc32 of the id mod 3 is 1
@@ -99,7 +99,7 @@ def probabilities(network: Network, texts: list[bytes], block: int = 12) -> np.n
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def train(chunks: np.ndarray, lengths: np.ndarray, owner: np.ndarray, label: np.ndarray, epochs: int = 14, batch: int = 32, rate: float = 4e-3, seed: int = 7) -> Network:
+def train(chunks: np.ndarray, lengths: np.ndarray, owner: np.ndarray, label: np.ndarray, epochs: int = 24, batch: int = 32, rate: float = 6e-3, seed: int = 7) -> Network:
     """Adam on the log loss of texts. owner: text of each chunk, ascending; label: 0 or 1 of each text.
 
     With no texts, or texts of one label only, the network answers the smoothed share of label 1 for any text.
