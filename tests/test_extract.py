@@ -53,6 +53,30 @@ class Foo(Base, pkg.Other, metaclass=M):
     assert ("f", "Includes", "pkg.mod") in edges and all(d[0] != "os" for d in defined)
 
 
+def test_python_against_its_own_parser():
+    """Functions and classes of installed modules: names, lines and parents as the ast module has them."""
+    import ast
+    import json
+    import logging
+
+    def walk(body, parent):
+        for n in body:
+            if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                yield "Function", n.name, n.lineno, n.end_lineno, parent
+            elif isinstance(n, ast.ClassDef):
+                yield "Class", n.name, n.lineno, n.end_lineno, parent
+                yield from walk(n.body, n.name)
+            else:
+                for inner in (getattr(n, "body", None), getattr(n, "orelse", None), getattr(n, "finalbody", None), *(h.body for h in getattr(n, "handlers", []))):
+                    yield from walk(inner if isinstance(inner, list) else [], parent)
+
+    for module in (ast, json.decoder, json.encoder, logging, pytest):
+        with open(module.__file__, encoding="utf-8") as f:
+            text = f.read()
+        got = [(s[0], s[1], s[2], s[3], s[5]) for s in rows("python", text)[0] if s[0] in ("Function", "Class")]
+        assert got == list(walk(ast.parse(text).body, None))
+
+
 def test_cpp():
     text = '''#include <vector>
 #define MAX(a,b) \\
