@@ -177,7 +177,7 @@ def _join_buckets(budget: int):
             if full:
                 yield _batch(held.view(np.int64), None, np.full(len(held), held_key), np.full(len(held), full))
             elif len(held) > 1:
-                ready.append(held)
+                ready.append(np.sort(held))  # rows come in signed order, the trie needs unsigned
                 cost += len(held) ** 2
                 if cost > AT_ONCE:
                     yield from settle()

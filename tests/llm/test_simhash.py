@@ -97,6 +97,17 @@ def test_large_buckets_go_in_parts(monkeypatch):
     assert label.tolist() == roots(codes.tolist())
 
 
+def test_buckets_in_signed_order():
+    """All links of small buckets are found, though their rows come sorted as signed longs."""
+    three = np.array([0x8000000000000000, 0xF800000000000000, 0x7800000000000000], np.uint64)
+    for codes in (three, *(clumped(n, seed) for n in (5, 60, 300) for seed in range(4))):
+        signed = np.sort(codes.view(np.int64))
+        rows = [r for b in S._join_buckets(4)(batches([np.zeros(len(codes), np.int64), signed], ["key", "fp"], 64)) for r in b.to_pylist()]
+        place = {c: i for i, c in enumerate(signed.tolist())}
+        label = S.forest(np.array([place[r["a"]] for r in rows], np.int64), np.array([place[r["b"]] for r in rows], np.int64), len(codes))
+        assert label.tolist() == roots(signed.view(np.uint64).tolist())
+
+
 def test_tables_leave_no_pair_out():
     for n in (1, 10**6, 10**9, 10**12):
         tables = S._tables(n, 4)
