@@ -35,9 +35,9 @@ from lodestone.shipping import ship
 HELD_OUT = 7, 2  # crc32 of the id mod 7 is 2
 #: The list has at most WORDS words, each of which makes up at least OFTEN of some stretch of the training texts. Which
 #: words are on it decides on cost and smoothing only: all words are counted.
-WORDS, OFTEN = 2000, 1e-4
-DEPTH = 2
-RARE = 1e-4
+WORDS, OFTEN = 4000, 1e-4
+DEPTH = 3
+RARE = 5e-5
 #: A context is retained if the Kullback-Leibler divergence (nats) of its next symbols from its parent's is above this,
 #: and above what so many samples give by chance.
 DIVERGENCE = 0.01

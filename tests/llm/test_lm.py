@@ -41,6 +41,17 @@ def test_nothing_to_learn_from(spark):
     check(got, [(k, "some words here") for k in keys])
 
 
+def test_learns_three_words_back(spark):
+    """What follows hangs on the third word back only; the list takes more than 2,000 words."""
+    rows = [(k, f"{'a' if k % 2 else 'b'} m m {'x' if k % 2 else 'y'}") for k in range(200)] + [(200 + k, " ".join(f"w{k * 50 + i}" for i in range(50) for _ in range(3))) for k in range(60)]
+    model = lm.learn(spark.createDataFrame([r for r in rows if not held(r[0])], "doc_id long, text string").coalesce(1))
+    assert len(model.tree.contexts) == 4
+    key = [model.words[w] for w in (b"a", b"m", b"m", b"x", b"y")]
+    before = (key[0] << 3 * lm.BITS) | (key[1] << 2 * lm.BITS) | (key[2] << lm.BITS)
+    assert model.tree.chance(np.array([before | key[3]]))[0] > 0.5 > model.tree.chance(np.array([before | key[4]]))[0]
+    assert len(model.words) > 2000
+
+
 def test_tree_gives_distributions():
     """Each context's probabilities add up to 1, and are those of the longest retained suffix."""
     rng = np.random.default_rng(2)
