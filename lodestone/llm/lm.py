@@ -33,9 +33,9 @@ from lodestone.llm.substrings import _all, _by_key, _pack, _rows, _split, _unpac
 from lodestone.shipping import ship
 
 HELD_OUT = 7, 2  # crc32 of the id mod 7 is 2
-#: The list has at most WORDS words, each of which makes up at least OFTEN of some stretch of the training texts. Which
-#: words are on it decides on cost and smoothing only: all words are counted.
-WORDS, OFTEN = 4000, 1e-4
+#: The list has the WORDS words that are most frequent in all training texts. Which words are on it decides on cost and
+#: smoothing only: all words are counted.
+WORDS = 4000
 DEPTH = 3
 RARE = 5e-5
 #: A context is retained if the Kullback-Leibler divergence (nats) of its next symbols from its parent's is above this,
@@ -179,15 +179,13 @@ def _counter(words: dict[bytes, int], depth: int, contexts):
     return run
 
 
-def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words that make up at least OFTEN of a stretch of texts. A word so frequent in all is so in some stretch."""
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of all words of a stretch of texts."""
     for _, _, texts in _flushes(batches):
         found = Counter()
         for t in texts:
             found.update(t)
-        least = max(3, OFTEN * found.total())
-        some = [(w, n) for w, n in found.items() if n >= least]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.binary()), pa.array([n for _, n in some], pa.int64())], ["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
@@ -205,7 +203,7 @@ def learn(docs: DataFrame) -> Model:
     """Count over all texts that aren't held out, and build the trees."""
     ship(docs.sparkSession)
     train = _prepared(docs).filter(~F.col("held"))
-    counted = train.mapInArrow(_often, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = train.mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.col("n").desc(), "word").limit(WORDS).collect()
     words = {bytes(r["word"]): i for i, r in enumerate(sorted(top, key=lambda r: bytes(r["word"])), 1)}
     levels: list[tuple[np.ndarray, np.ndarray]] = []

@@ -52,6 +52,15 @@ def test_learns_three_words_back(spark):
     assert len(model.words) > 2000
 
 
+def test_word_list_is_of_all_counts(spark):
+    """The list and the scores are those of the rows, however they are dealt to partitions."""
+    rows = spark.createDataFrame([(k, f"often enough group{k % 12}") for k in range(60)], "doc_id long, text string")
+    one, many = rows.coalesce(1), rows.repartition(30, "doc_id")
+    assert list(lm.learn(one).words) == list(lm.learn(many).words)
+    scored = [{r["doc_id"]: round(r["score"], 6) for r in lm.score(x).collect()} for x in (one, many)]
+    assert scored[0] == scored[1] and b"group1" in lm.learn(many).words
+
+
 def test_tree_gives_distributions():
     """Each context's probabilities add up to 1, and are those of the longest retained suffix."""
     rng = np.random.default_rng(2)
