@@ -1,7 +1,7 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs. DataFrame functions only.
 
-A paragraph (a line, or a sentence of one) has a wide vector: EXACT lanes of 32 bits, modulo 2^32, and LIKE lanes that
-are 0 or 1, modulo 2^16, all from its hashes. A text's vector is the sum of its paragraphs' vectors and of 1 in a lane
+A paragraph (a line, or a sentence of one) has a wide vector: EXACT lanes of 32 bits and LIKE lanes that are 0 or 1,
+all modulo 2^32 and from its hashes. A text's vector is the sum of its paragraphs' vectors and of 1 in a lane
 that counts them. So it doesn't hang on their order, and a paragraph is put in or taken out by one addition (see add()).
 Equal texts have equal vectors, and unequal multisets of paragraphs differ but for a chance of about 2^-128. The LIKE
 lanes tell how alike two multisets are: twice a lane less the count is a sum of random signs, and the cosine of two such
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import cut, ranged
 
 EXACT, LIKE = 4, 128
-MOD, LIKE_MOD = 1 << 32, 1 << 16
+MOD = 1 << 32
 #: Ends of paragraphs: line ends, and white space after a sentence's end. They are no part of a paragraph.
 BETWEEN = r"\n+|(?<=[.!?])[ \t]+"
 
@@ -55,8 +55,8 @@ def vector(text: Column) -> Column:
             parts.append(F.array(_sum(h, lambda x, k=k: x[f"h{k}"].bitwiseAND(low)) % MOD, _sum(h, lambda x, k=k: F.shiftrightunsigned(x[f"h{k}"], 32)) % MOD))
         for k in range(EXACT // 2, EXACT // 2 + LIKE // 64):
             both = F.transform(F.sequence(F.lit(0), F.lit(31)), _pair_of_lanes(h, f"h{k}"))
-            parts.append(F.transform(both, lambda x: x.bitwiseAND(F.lit(MOD - 1)) % LIKE_MOD))
-            parts.append(F.transform(both, lambda x: F.shiftrightunsigned(x, 32) % LIKE_MOD))
+            parts.append(F.transform(both, lambda x: x.bitwiseAND(F.lit(MOD - 1))))
+            parts.append(F.transform(both, lambda x: F.shiftrightunsigned(x, 32)))
         return F.concat(*parts)
 
     # Hashes are bound once; in an expression used many times they would be made anew each time.
@@ -65,7 +65,7 @@ def vector(text: Column) -> Column:
 
 def add(one: Column, other: Column, sign: int = 1) -> Column:
     """The vector of both texts' paragraphs together, or with sign -1 of the first without the second's."""
-    mods = [1 << 62, *[MOD] * EXACT, *[LIKE_MOD] * LIKE]
+    mods = [1 << 62, *[MOD] * (EXACT + LIKE)]
     return F.zip_with(F.zip_with(one, other, lambda a, b: a + F.lit(sign) * b), F.array(*(F.lit(m) for m in mods)), lambda x, m: F.pmod(x, m))
 
 
@@ -75,7 +75,7 @@ def shown(v: Column) -> Column:
 
 
 def likeness(one: Column, other: Column) -> Column:
-    """From 0 to 1; 1 for equal vectors. Of texts of 2^16 paragraphs or more the lanes are too short, and equality is all it tells.
+    """From 0 to 1; 1 for equal vectors.
 
     Give columns that hold vectors, and don't call a result in the same select by the name of one of them: Spark would
     take the result for the vector.
@@ -91,7 +91,7 @@ def likeness(one: Column, other: Column) -> Column:
         return F.when(sizes > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot / sizes))).otherwise(F.lit(0.0))
 
     alike = F.element_at(F.transform(F.array(F.struct(signs(one).alias("a"), signs(other).alias("b"))), cosine), 1)
-    return F.when(one == other, F.lit(1.0)).when(F.greatest(one[0], other[0]) >= LIKE_MOD, F.lit(0.0)).otherwise(alike)
+    return F.when(one == other, F.lit(1.0)).otherwise(alike)
 
 
 def fingerprint(docs: DataFrame, keep: list[str]) -> DataFrame:

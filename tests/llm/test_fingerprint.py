@@ -55,6 +55,16 @@ def test_likeness(spark):
     assert r["like_a"] == 1.0 and abs(r["like_b"] - 2 / 3) < 0.25 and r["like_c"] < 0.3
 
 
+def test_likeness_of_very_long_texts(spark):
+    """Texts of 2^16 paragraphs and more, two thirds of which are the same; the lanes count beyond 2^16."""
+    lines = [f"line {i}" for i in range(66_000)]
+    a, b, c = (np.array(v) for v in vectors(spark, "\n".join(lines), "\n".join(lines[:44_000] + [f"new {i}" for i in range(22_000)]), "same\n" * 70_000))
+    df = spark.createDataFrame([(a.tolist(), b.tolist())], "a array<long>, b array<long>")
+    r = df.select(likeness(F.col("a"), F.col("b")).alias("like")).first()
+    assert abs(r["like"] - alike(a, b)) < 1e-9 and abs(r["like"] - 2 / 3) < 0.25
+    assert set(c[5:].tolist()) == {0, 70_000}
+
+
 def test_odd_rows(odd, none, odd_rows):
     got = compare_with_edits(odd).collect()
     assert sorted((str(r["doc_id"]), r["n_chars"]) for r in got) == sorted((str(r[0]), len(r[1] or "")) for r in odd_rows)
