@@ -11,7 +11,7 @@ from lodestone.llm.common import read, scratch
 from lodestone.llm.decontaminate import find_matches
 from lodestone.llm.mixing import mix_rows
 from lodestone.llm.quality import classify, fit
-from lodestone.llm.simhash import near_duplicates
+from lodestone.llm.simhash import first_rows
 from lodestone.llm.tokens import read_tokens, write_tokens
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,12 +23,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id; of equal ids one row."""
-    found = near_duplicates(docs, ["doc_id"]).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # Only ids go through the join; the texts are shuffled once, to meet those that stay.
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    stay = found.select(key.alias("_key")).distinct()
-    return docs.select(*COLUMNS, key.alias("_key")).join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
+    """Of each group of near-duplicates one row: that of the smallest id (null ids last), then of the least hash."""
+    # All columns, nulls apart, so that rows share a key only if they are the same; 128 bits of hash.
+    values = [x for c in COLUMNS for x in (F.col(c).isNull(), F.col(c))]
+    hashes = [F.xxhash64(F.lit(f"row{k}"), *values).alias(f"_h{k}") for k in range(2)]
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), *hashes)
+    stay = first_rows(docs, row).select(F.col("first._h0").alias("_h0"), F.col("first._h1").alias("_h1"))
+    # Only keys go through the join; the texts are shuffled once, to meet those that stay.
+    return docs.select(*COLUMNS, *hashes).join(stay, ["_h0", "_h1"], "left_semi").dropDuplicates(["_h0", "_h1"]).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

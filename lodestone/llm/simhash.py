@@ -8,7 +8,7 @@ from itertools import combinations, pairwise
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut
@@ -286,6 +286,19 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components didn't settle")
 
 
+def _rooted(nodes: DataFrame, budget: int) -> DataFrame:
+    """nodes (_fp, _first) with _root, the fingerprint that names the component."""
+    stars = components(links(nodes, nodes.count(), budget))
+    return nodes.join(stars, nodes["_fp"] == stars["node"], "left").select("_fp", "_first", F.coalesce("root", "_fp").alias("_root"))
+
+
+def first_rows(docs: DataFrame, row: Column, budget: int = BUDGET) -> DataFrame:
+    """Of each component of docs the least row, a struct that orders them, as column first."""
+    marked = fingerprints(docs.select(row.alias("_row"), "text"), ["_row"])
+    nodes = cut(marked.groupBy("_fp").agg(F.min("_row").alias("_first")))
+    return _rooted(nodes, budget).groupBy("_root").agg(F.min("_first").alias("first")).select("first")
+
+
 def near_duplicates(docs: DataFrame, keep: list[str], budget: int = BUDGET) -> DataFrame:
     """The columns in keep of every row of docs, fingerprint (16 hex digits) and component_id.
 
@@ -297,8 +310,7 @@ def near_duplicates(docs: DataFrame, keep: list[str], budget: int = BUDGET) -> D
     """
     marked = cut(fingerprints(docs, ["doc_id", *(c for c in keep if c != "doc_id")]))
     nodes = cut(marked.groupBy("_fp").agg(F.min("doc_id").alias("_first")))
-    stars = components(links(nodes, nodes.count(), budget))
-    rooted = nodes.join(stars, nodes["_fp"] == stars["node"], "left").select("_fp", "_first", F.coalesce("root", "_fp").alias("_root"))
+    rooted = _rooted(nodes, budget)
     ids = rooted.groupBy("_root").agg(F.min("_first").alias("component_id")).withColumnRenamed("_root", "_r")
     named = rooted.join(ids, rooted["_root"] == ids["_r"]).select(F.col("_fp").alias("_f"), "component_id")
     shown = F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint")

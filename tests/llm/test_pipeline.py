@@ -57,5 +57,15 @@ def test_odd_rows(spark, odd, none, tmp_path):
         assert (docs.count() > 0) == (start is odd)
 
 
+def test_near_dedup_keeps_a_row_of_each_component(spark, tmp_path):
+    """Rows of one id, or of none, with texts that are no duplicates stay; a null text goes if it has a like with an id."""
+    text = {k: " ".join(f"{k}{i * i}" for i in range(60)) for k in "abcdef"}
+    rows = [(1, text["a"]), (1, text["b"]), (None, text["c"]), (None, text["d"]), (None, text["c"]), (2, text["e"]), (None, text["e"]), (3, ""), (None, None), (4, text["f"]), (4, text["f"])]
+    docs = spark.createDataFrame([(k, t, "en", "s", None) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = P.near_dedup(spark, docs, str(tmp_path))
+    want = [(1, text["a"]), (1, text["b"]), (None, text["c"]), (None, text["d"]), (2, text["e"]), (3, ""), (4, text["f"])]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, want)) and got.columns == docs.columns
+
+
 def test_run(spark, sf_dir):
     assert P.run(spark, sf_dir).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
