@@ -25,14 +25,13 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.blocks import batch_of, by_key, filesystem, joined, pack, split, take, unpack
 from lodestone.llm.common import release, scratch
 from lodestone.shipping import ship
 
@@ -53,43 +52,6 @@ _SPAN = [("loc", "i8"), ("start", "i8"), ("end", "i8")]
 _ASK = [("a", "u8"), ("b", "u8"), ("doc", "i8"), ("loc", "i8"), ("q", "i8"), ("left", "u1"), ("more", "u1")]
 
 
-def _pack(fields: list[tuple[str, str]], columns: dict[str, np.ndarray], tail: bytes = b"") -> bytes:
-    n = len(columns[fields[0][0]])
-    parts = [np.ascontiguousarray(columns[f].astype("<" + k).view(np.uint8).reshape(n, int(k[1])).T).tobytes() for f, k in fields]
-    return zstandard.ZstdCompressor(1).compress(b"".join((n.to_bytes(8, "little"), *parts, tail)))
-
-
-def _unpack(fields: list[tuple[str, str]], data: bytes) -> tuple[dict[str, np.ndarray], bytes]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n, at, out = int.from_bytes(raw[:8], "little"), 8, {}
-    for f, k in fields:
-        width = int(k[1])
-        out[f] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view("<" + k).reshape(n)
-        at += n * width
-    return out, raw[at:]
-
-
-def _all(fields: list[tuple[str, str]], found: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
-    return {f: np.concatenate([x[f] for x in found]) if found else np.empty(0, k) for f, k in fields}
-
-
-def _take(columns: dict[str, np.ndarray], which: np.ndarray) -> dict[str, np.ndarray]:
-    return {k: v[which] for k, v in columns.items()}
-
-
-def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["kind", "at", "data"])
-
-
-def _split(fields: list[tuple[str, str]], columns: dict[str, np.ndarray], key: np.ndarray, kind: int) -> Iterator[tuple[int, int, bytes]]:
-    """A row for each value of key, with the columns of its places."""
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else []
-    for s, e in pairwise([*cuts, len(key)]):
-        yield kind, int(key[s]), _pack(fields, _take(columns, order[s:e]))
-
-
 def multikey_order(*keys: np.ndarray) -> np.ndarray:
     """The order by the first key, then only where that ties by the next, and so on, as multikey quicksort does."""
     order = np.argsort(keys[0], kind="stable")
@@ -172,7 +134,7 @@ def runs_of(texts: list[bytes], width: int = WIDTH) -> dict[str, np.ndarray]:
     if waiting:
         flush()
     names = [("a", "u8"), ("b", "u8"), ("c", "u8"), ("row", "i8"), ("q", "i8"), ("left", "u1"), ("more", "u1")]
-    return _all(names, out)
+    return joined(names, out)
 
 
 def merge(rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,10 +152,6 @@ def merge(rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return rows[first], start[first], (reach - far)[np.concatenate((first[1:], [len(rows)])) - 1]
 
 
-def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
-
-
 def _order_of(columns: dict[str, np.ndarray]) -> np.ndarray:
     return multikey_order(columns["a"], columns["b"], columns["c"], columns["doc"], columns["loc"], columns["q"])
 
@@ -208,7 +166,7 @@ def _firsts(columns: dict[str, np.ndarray], *names: str) -> np.ndarray:
 
 def _reader(uri: str, splitters: np.ndarray, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, folder = _filesystem(uri)
+        files, folder = filesystem(uri)
         task = TaskContext.get()
         keys: list[int | None] = []
         texts: list[bytes] = []
@@ -231,25 +189,25 @@ def _reader(uri: str, splitters: np.ndarray, width: int):
         def close() -> pa.RecordBatch:
             nonlocal held, many, serial
             file = task.partitionId() << 16 | serial
-            runs = _all([*_RUN[:3], ("row", "i8"), *_RUN[5:]], found)
+            runs = joined([*_RUN[:3], ("row", "i8"), *_RUN[5:]], found)
             ids = np.array([-(2**63) if k is None else k for k in keys], np.int64)
             runs["doc"], runs["loc"] = ids[runs["row"]], np.int64(file) << 24 | runs["row"]
-            runs = _take(runs, _order_of(runs))
+            runs = take(runs, _order_of(runs))
             first = _firsts(runs, "a", "b", "c")
             begin = runs["q"] - runs["left"]
             spans = merge(runs["row"][~first], begin[~first], (begin + runs["more"] + width)[~first])
             table = pa.table({"doc_id": pa.array(keys, pa.int64()), "text": pa.array(texts, pa.binary())})
-            table = table.replace_schema_metadata({"spans": _pack(_SPAN, dict(zip(("loc", "start", "end"), spans, strict=True)))})
+            table = table.replace_schema_metadata({"spans": pack(_SPAN, dict(zip(("loc", "start", "end"), spans, strict=True)))})
             hidden = f"{folder}/.{file}.{task.taskAttemptId()}"
             with files.open_output_stream(hidden) as out:
                 pq.write_table(table, out, compression="zstd", compression_level=1, use_dictionary=False, write_statistics=False)
             files.move(hidden, f"{folder}/{file}")  # a task that runs again writes the same
-            sent = _take(runs, np.flatnonzero(first))
-            rows = [(MARK, file, b""), *_split(_RUN, sent, np.searchsorted(splitters, sent["a"], "right"), RUNS)]
+            sent = take(runs, np.flatnonzero(first))
+            rows = [(MARK, file, b""), *split(_RUN, sent, np.searchsorted(splitters, sent["a"], "right"), RUNS)]
             keys.clear(), texts.clear(), found.clear()
             held, many, serial = 0, 0, serial + 1
             release()
-            return _rows(rows)
+            return batch_of(rows)
 
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -268,55 +226,40 @@ def _reader(uri: str, splitters: np.ndarray, width: int):
     return run
 
 
-def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
-    """Rows of one value of at, which come together."""
-    held_key, held = None, []
-    for b in batches:
-        for kind, key, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            if held and key != held_key:
-                yield held_key, held
-                held = []
-                release()
-            held_key = key
-            held.append((kind, data.as_py()))
-    if held:
-        yield held_key, held
-
-
 def _sorter(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, rows in _by_key(batches):
+        for key, rows in by_key(batches):
             out = [(k, key, d) for k, d in rows if k != RUNS]
-            runs = _all(_RUN, [_unpack(_RUN, d)[0] for k, d in rows if k == RUNS])
-            runs = _take(runs, _order_of(runs))
+            runs = joined(_RUN, [unpack(_RUN, d)[0] for k, d in rows if k == RUNS])
+            runs = take(runs, _order_of(runs))
             kind = _firsts(runs, "a", "b", "c")
             group = np.cumsum(_firsts(runs, "a", "b"))
             begin = runs["q"] - runs["left"]
             again = np.flatnonzero(~kind)
-            out += _split(_SPAN, {"loc": runs["loc"][again], "start": begin[again], "end": (begin + runs["more"] + width)[again]}, runs["loc"][again] >> 24, SPANS)
+            out += split(_SPAN, {"loc": runs["loc"][again], "start": begin[again], "end": (begin + runs["more"] + width)[again]}, runs["loc"][again] >> 24, SPANS)
             kinds = np.bincount(group[kind], minlength=1) if len(group) else np.zeros(1, np.int64)
             ask = np.flatnonzero(kind & (kinds[group] > 1))
-            asked = _take(runs, ask)
-            out += _split(_ASK, asked, asked["loc"] >> 24, ASKED)
+            asked = take(runs, ask)
+            out += split(_ASK, asked, asked["loc"] >> 24, ASKED)
             if out:
-                yield _rows(out)
+                yield batch_of(out)
 
     return run
 
 
 def _fetcher(uri: str, splitters: np.ndarray, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, folder = _filesystem(uri)
-        for key, rows in _by_key(batches):
-            yield _rows([(k, key, d) for k, d in rows if k != ASKED] or [])
-            asked = _all(_ASK, [_unpack(_ASK, d)[0] for k, d in rows if k == ASKED])
+        files, folder = filesystem(uri)
+        for key, rows in by_key(batches):
+            yield batch_of([(k, key, d) for k, d in rows if k != ASKED] or [])
+            asked = joined(_ASK, [unpack(_ASK, d)[0] for k, d in rows if k == ASKED])
             if not len(asked["a"]):
                 continue
             with files.open_input_file(f"{folder}/{key}") as f:
                 texts = pq.read_table(f, columns=["text"]).column("text").combine_chunks()
             bucket = np.searchsorted(splitters, asked["a"], "right")
             order = np.lexsort((asked["loc"], bucket))
-            asked, bucket = _take(asked, order), bucket[order]
+            asked, bucket = take(asked, order), bucket[order]
             cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
             begin = asked["q"] - asked["left"]
             for s, e in pairwise([*cuts, len(bucket)]):
@@ -326,7 +269,7 @@ def _fetcher(uri: str, splitters: np.ndarray, width: int):
                         row = loc & 0xFFFFFF
                         text = texts[row].as_buffer()
                     parts.append(text.slice(at, more + width).to_pybytes())
-                yield _rows([(BYTES, int(bucket[s]), _pack(_ASK, {k: v[s:e] for k, v in asked.items()}, b"".join(parts)))])
+                yield batch_of([(BYTES, int(bucket[s]), pack(_ASK, {k: v[s:e] for k, v in asked.items()}, b"".join(parts)))])
 
     return run
 
@@ -354,7 +297,7 @@ def repeated_windows(asked: dict[str, np.ndarray], data: bytes, width: int = WID
     value = (sums[at + width] - sums[at]) * back[at]
     group = np.zeros(len(many), np.int64)
     order = multikey_order(asked["a"], asked["b"])
-    group[order] = np.cumsum(_firsts(_take({"a": asked["a"], "b": asked["b"]}, order), "a", "b"))
+    group[order] = np.cumsum(_firsts(take({"a": asked["a"], "b": asked["b"]}, order), "a", "b"))
     earlier = np.empty(len(many), np.int64)
     earlier[np.lexsort((asked["q"], asked["loc"], asked["doc"]))] = np.arange(len(many))
     place = group[run] * 256 + asked["left"][run].astype(np.int64) - number  # group, and the anchor's place in the window
@@ -367,29 +310,29 @@ def repeated_windows(asked: dict[str, np.ndarray], data: bytes, width: int = WID
 
 def _comparer(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, rows in _by_key(batches):
+        for key, rows in by_key(batches):
             out = [(k, key, d) for k, d in rows if k != BYTES]
-            got = [_unpack(_ASK, d) for k, d in rows if k == BYTES]
+            got = [unpack(_ASK, d) for k, d in rows if k == BYTES]
             if got:
-                asked = _all(_ASK, [g[0] for g in got])
+                asked = joined(_ASK, [g[0] for g in got])
                 which, number = repeated_windows(asked, b"".join(g[1] for g in got), width)
                 start = (asked["q"] - asked["left"])[which] + number
                 loc, start, end = merge(asked["loc"][which], start, start + width)
-                out += _split(_SPAN, {"loc": loc, "start": start, "end": end}, loc >> 24, SPANS)
+                out += split(_SPAN, {"loc": loc, "start": start, "end": end}, loc >> 24, SPANS)
             if out:
-                yield _rows(out)
+                yield batch_of(out)
 
     return run
 
 
 def _keeper(uri: str, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, folder = _filesystem(uri)
-        for key, rows in _by_key(batches):
+        files, folder = filesystem(uri)
+        for key, rows in by_key(batches):
             with files.open_input_file(f"{folder}/{key}") as f:
                 table = pq.read_table(f)
-            own = _unpack(_SPAN, table.schema.metadata[b"spans"])[0]
-            spans = _all(_SPAN, [own, *(_unpack(_SPAN, d)[0] for k, d in rows if k == SPANS)])
+            own = unpack(_SPAN, table.schema.metadata[b"spans"])[0]
+            spans = joined(_SPAN, [own, *(unpack(_SPAN, d)[0] for k, d in rows if k == SPANS)])
             row, start, end = merge(spans["loc"] & 0xFFFFFF, spans["start"], spans["end"])
             ends = np.searchsorted(row, np.arange(table.num_rows), "right").tolist()
             begins = np.searchsorted(row, np.arange(table.num_rows)).tolist()

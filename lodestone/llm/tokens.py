@@ -9,12 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.blocks import filesystem
 from lodestone.llm.common import prefix_sums, release
 from lodestone.shipping import ship
 
@@ -226,16 +226,12 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
-
-
 def _writer(uri: str, path: str | None, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path or vocabulary_path())
-        files, folder = _filesystem(uri)
+        files, folder = filesystem(uri)
         task = TaskContext.get()
         part, attempt = task.partitionId(), task.taskAttemptId()
         keys, lengths, ids, held, serial = [], [], [], 0, 0
@@ -291,7 +287,7 @@ def read_tokens(files: DataFrame, uri: str) -> DataFrame:
     import zlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        source, folder = _filesystem(uri)
+        source, folder = filesystem(uri)
         _encoder.cache_clear()  # a worker that wrote has no more need of what it remembers
         for b in batches:
             for name, start in zip(*(c.to_pylist() for c in b.columns), strict=True):

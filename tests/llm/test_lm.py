@@ -1,25 +1,81 @@
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from lodestone.llm import lm
 from lodestone.llm.queries import QUERIES
 
+BEGIN, END = " begin", " end"
+
 
 def held(key):
     return key is not None and zlib.crc32(str(key).encode()) % 7 == 2
 
 
+def symbols(text):
+    return [*(text or "").encode().lower().split(), END]
+
+
 def check(got, rows):
-    words = [(k, [*(t or "").encode().lower().split(), None]) for k, t in rows]
+    words = [(k, symbols(t)) for k, t in rows]
     count = Counter(w for k, x in words if not held(k) for w in x)
     n, v = sum(count.values()), len(count)
     want = sorted((str(k), held(k), len(x), sum(w in count for w in x), n, round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in x), 6)) for k, x in words)
     assert want == sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got)
 
 
+def plain_tree(rows, depth, least):
+    """Retained contexts of a suffix tree over dictionaries: context (oldest first) -> Counter of next symbols; and the root."""
+    follows = defaultdict(Counter)
+    for key, text in rows:
+        if held(key):
+            continue
+        row = [BEGIN, *symbols(text)]
+        for i in range(1, len(row)):
+            for d in range(min(depth, i) + 1):
+                follows[tuple(row[i - d : i])][row[i]] += 1
+    retained = {}
+    for context, after in follows.items():
+        total = sum(after.values())
+        if not context or total < least:
+            continue
+        above = follows[context[1:]]
+        every = sum(above.values())
+        apart = sum(n / total * math.log(n / total / (above[s] / every)) for s, n in after.items())
+        if apart > max(0.01, 0.5 * len(after) * math.log(total) / total):
+            retained[context] = after
+    return retained, follows[()]
+
+
+def plain_score(text, retained, root, depth):
+    once = max(1, sum(n == 1 and w != END for w, n in root.items()))
+    whole = sum(root.values()) + 1 + once
+    row, out = [BEGIN, *symbols(text)], 0.0
+    for i in range(1, len(row)):
+        s = row[i]
+        p = (root[s] + 1 if s == END else root[s] or once) / whole
+        for d in range(1, min(depth, i) + 1):
+            after = retained.get(tuple(row[i - d : i]))
+            if after:
+                p = (after[s] + len(after) * p) / (sum(after.values()) + len(after))
+        out += math.log10(p)
+    return out
+
+
+@pytest.mark.parametrize(("depth", "least"), [(3, 3), (3, 50), (1, 2), (5, 4)])
+def test_against_a_plain_tree(spark, plain, depth, least):
+    retained, root = plain_tree(plain, depth, least)
+    assert {len(c) for c in retained} >= {1} and (least > 4 or depth < 3 or max(len(c) for c in retained) >= 3)
+    docs = spark.createDataFrame(plain, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs, depth, least).collect()}
+    for key, text in plain:
+        want = plain_score(text, retained, root, depth)
+        assert abs(got[key] - want) < 1e-6 * max(1, abs(want)), (key, got[key], want)
+
+
 def test_query(spark, sf_dir, plain):
     got = QUERIES["op6_suffix_tree_scores"](spark, sf_dir).collect()
     check(got, plain)
@@ -29,9 +85,13 @@ def test_query(spark, sf_dir, plain):
 
 
 def test_odd_rows(odd, none, odd_rows):
-    got = lm.score(odd).collect()
-    check(got, [(r[0], r[1]) for r in odd_rows])
-    assert all(r["score"] <= 0 and math.isfinite(r["score"]) for r in got)
+    for least in (lm.LEAST, 2):
+        got = lm.score(odd, least=least).collect()
+        check(got, [(r[0], r[1]) for r in odd_rows])
+        assert all(r["score"] <= 0 and math.isfinite(r["score"]) for r in got)
+    retained, root = plain_tree([(r[0], r[1]) for r in odd_rows], 3, 2)
+    want = sorted(round(plain_score(r[1], retained, root, 3), 4) for r in odd_rows)
+    assert want == sorted(round(r["score"], 4) for r in got)
     assert lm.score(none).count() == 0
 
 
@@ -39,46 +99,44 @@ def test_nothing_to_learn_from(spark):
     keys = [k for k in range(200) if held(k)][:3]
     got = lm.score(spark.createDataFrame([(k, "some words here") for k in keys], "doc_id long, text string")).collect()
     check(got, [(k, "some words here") for k in keys])
-
-
-def test_learns_three_words_back(spark):
-    """What follows hangs on the third word back only; the list takes more than 2,000 words."""
-    rows = [(k, f"{'a' if k % 2 else 'b'} m m {'x' if k % 2 else 'y'}") for k in range(200)] + [(200 + k, " ".join(f"w{k * 50 + i}" for i in range(50) for _ in range(3))) for k in range(60)]
-    model = lm.learn(spark.createDataFrame([r for r in rows if not held(r[0])], "doc_id long, text string").coalesce(1))
-    assert len(model.tree.contexts) == 4
-    key = [model.words[w] for w in (b"a", b"m", b"m", b"x", b"y")]
-    before = (key[0] << 3 * lm.BITS) | (key[1] << 2 * lm.BITS) | (key[2] << lm.BITS)
-    assert model.tree.chance(np.array([before | key[3]]))[0] > 0.5 > model.tree.chance(np.array([before | key[4]]))[0]
-    assert len(model.words) > 2000
-
-
-def test_word_list_is_of_all_counts(spark):
-    """The list and the scores are those of the rows, however they are dealt to partitions."""
-    rows = spark.createDataFrame([(k, f"often enough group{k % 12}") for k in range(60)], "doc_id long, text string")
-    one, many = rows.coalesce(1), rows.repartition(30, "doc_id")
-    assert list(lm.learn(one).words) == list(lm.learn(many).words)
-    scored = [{r["doc_id"]: round(r["score"], 6) for r in lm.score(x).collect()} for x in (one, many)]
-    assert scored[0] == scored[1] and b"group1" in lm.learn(many).words
-
-
-def test_tree_gives_distributions():
-    """Each context's probabilities add up to 1, and are those of the longest retained suffix."""
-    rng = np.random.default_rng(2)
-    symbols = 6
-    root = (np.arange(symbols - 1, dtype=np.int64), rng.integers(1, 50, symbols - 1))
-    one = np.array([(c << lm.BITS) | s for c in (1, 3) for s in range(4)], np.int64)
-    two = np.array([(1 << 2 * lm.BITS) | (3 << lm.BITS) | s for s in range(3)], np.int64)
-    tree = lm.build([root, (one, rng.integers(1, 9, len(one))), (two, rng.integers(1, 9, 3))], symbols)
-    for a in range(symbols):
-        for b in range(symbols):
-            p = tree.chance(np.array([(a << 2 * lm.BITS) | (b << lm.BITS) | s for s in range(symbols)], np.int64))
-            assert abs(p.sum() - 1) < 1e-9
-            q = tree.chance(np.array([(5 << 2 * lm.BITS) | (b << lm.BITS) | s for s in range(symbols)], np.int64))
-            assert ((a, b) == (1, 3)) != np.allclose(p, q)
-    assert not np.allclose(tree.chance(one[:4]), tree.chance(np.arange(4)))
-
-
-def test_packed_places():
-    symbols = np.array([9, 9, 1, 2, 3, 9, 9, 4], np.int64)
-    keys = lm.packed(symbols, np.array([0, 5]), 2, 4)
-    assert [(k >> 8, k >> 4 & 15, k & 15) for k in keys.tolist()] == [(9, 9, 1), (9, 1, 2), (1, 2, 3), (9, 9, 4)]
+    assert all(abs(r["score"] - 4 * math.log10(0.5)) < 1e-9 for r in got)
+
+
+def test_scores_are_those_of_the_rows(spark, sf_dir, monkeypatch):
+    """However they are dealt: to 1 or 16 partitions, in stretches large or small, in few buckets or many."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    one = {r["doc_id"]: r["score"] for r in lm.score(docs.coalesce(1), least=5).collect()}
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 20_000)
+    many = {r["doc_id"]: r["score"] for r in lm.score(docs.repartition(16, "doc_id"), least=5).collect()}
+    assert one.keys() == many.keys() and all(abs(one[k] - many[k]) < 1e-7 * abs(one[k]) for k in one)
+
+
+def test_stretches_of_a_task(spark, plain, monkeypatch):
+    """A task with several stretches: their numbers and files are apart."""
+    monkeypatch.setattr(lm, "STRETCH_BYTES", 30_000)
+    source = {}
+    rows = [(k, True, t.encode()) for k, t in plain]
+    import pyarrow as pa
+
+    class Task:
+        def partitionId(self):
+            return 5
+
+    monkeypatch.setattr(lm, "TaskContext", type("T", (), {"get": staticmethod(lambda: Task())}))
+    uri = lm.scratch(spark, "test-stretches")
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([k % 2 == 0 for k, _, _ in rows]), pa.array([r[2] for r in rows])], ["a", "b", "c"])
+    for made in lm._reader(uri, 7, 50)(iter([batch])):
+        for r in made.to_pylist():
+            if r["kind"] == lm.TEXT:
+                source[r["at"]] = lm._opened(uri, r["data"], 50)
+    assert len(source) > 5 and all(k & 0xFF == 5 for k in source)
+    assert [d for k in sorted(source) for d in source[k].docs["doc"].tolist()] == [k for k, _ in plain]
+
+
+def test_contexts_grow_with_the_corpus(spark):
+    """A context counts by its own occurrences, whatever share of the corpus they are."""
+    rows = [(k, f"{'a' if k % 2 else 'b'} m m {'x' if k % 2 else 'y'}") for k in range(200)]
+    more = [(1000 + k, " ".join(f"w{(k * 50 + i) % 9000}" for i in range(400))) for k in range(400)]
+    for these in (rows, rows + more):
+        got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame([*these, (9999, "a m m x"), (9998, "a m m y")], "doc_id long, text string").coalesce(2)).collect()}
+        assert got[9999] > got[9998] + 1
