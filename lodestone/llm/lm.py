@@ -45,7 +45,7 @@ STRETCH_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
 KINDS = "kind int, at long, who long, data binary"
 #: Kinds of rows: a stretch's file; asked and answered counts; asked and answered divergences; totals of words.
 TEXT, ASK, COUNT, TEST, KEPT, TOTALS = range(6)
-_ASK = [("key", "u8"), ("n", "i8")]
+_ASK = [("key", "u8"), ("n", "i8"), ("all", "i8")]
 _TEST = [("key", "u8"), ("apart", "i8"), ("kinds", "i8"), ("total", "i8")]
 _ANSWER = [("value", "i8")]
 _TOKENS = [("token", "u4")]
@@ -105,23 +105,27 @@ def _level(kind: int, depth: int) -> int:
 
 
 def _bucketed(kind: int, who: int, fields: list[tuple[str, str]], columns: dict[str, np.ndarray], buckets: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """A row for each bucket of ascending keys; buckets are ranges of keys."""
+    """A row for each bucket of ascending keys; buckets are ranges of keys, which are sent as their differences."""
     key = columns["key"]
     edges = np.arange(1, buckets, dtype=object) * (1 << 64) // buckets
     ends = [0, *np.searchsorted(key, edges.astype(np.uint64)).tolist(), len(key)]
     for bucket, (s, e) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
         if e > s:
-            yield kind, bucket, who, pack(fields, {k: v[s:e] for k, v in columns.items()})
+            part = {k: v[s:e] for k, v in columns.items()}
+            yield kind, bucket, who, pack(fields, part | {"key": np.diff(part["key"], prepend=np.uint64(0))})
 
 
-def _counts(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys ascending, the sum of each one's weights, and where each of keys is among them."""
-    distinct, where = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(where, weight, len(distinct)).astype(np.int64), where
+def _unbucketed(fields: list[tuple[str, str]], data: bytes) -> dict[str, np.ndarray]:
+    columns = unpack(fields, data)[0]
+    return columns | {"key": np.cumsum(columns["key"], dtype=np.uint64)}
 
 
 class _Stretch:
-    """Some documents as one row of symbols, with what the buckets have told of them so far."""
+    """Some documents as one row of symbols, with what the buckets have told of them so far.
+
+    A string of depth d ends at a place and has d symbols before it. Of one that occurs once in all texts, nothing longer
+    that ends there needs to be asked for: that occurs once too, here.
+    """
 
     def __init__(self, docs: dict[str, np.ndarray], token: np.ndarray, hashes: np.ndarray, least: int):
         self.docs, self.token, self.least = docs, token.astype(np.int64), least
@@ -129,10 +133,17 @@ class _Stretch:
         self.place = np.arange(len(token)) - np.repeat(self.first, docs["size"])
         self.train = np.repeat(docs["held"] == 0, docs["size"])
         self.hash = hashes[self.token]
-        #: By depth: the count of the string that ends at a place with so many symbols before it, and whose it is.
+        self.key = [self.hash]
+        order = np.argsort(hashes)
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        #: By depth: places asked for, the distinct keys there (ascending), and which of them each place has.
+        self.asked = [(np.arange(len(token)), hashes[order], number[self.token])]
+        #: By depth, at each place: the string's count, whether it is this stretch's own, whether it occurs once in all.
         self.count: list[np.ndarray] = []
         self.owned: list[np.ndarray] = []
-        self.key = [self.hash]
+        self.once: list[np.ndarray] = []
+        self.frequent: list[np.ndarray] = []  # by depth: which of the distinct strings are
         self.kinds: list[np.ndarray] = [np.zeros(len(token), np.int64)]
 
     def context(self, depth: int) -> np.ndarray:
@@ -142,59 +153,66 @@ class _Stretch:
         n[self.place < depth] = 0
         return n
 
-    def asked(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places with a frequent context of depth symbols, and the keys of it with the place's symbol."""
-        while len(self.key) <= depth:
+    def _ask(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if len(self.asked) <= depth:
             longer = np.zeros(len(self.token), np.uint64)
             longer[1:] = _mixed(self.key[-1][:-1], self.hash[1:])
             self.key.append(longer)
-        at = np.flatnonzero(self.context(depth) >= self.least) if depth else np.arange(len(self.token))
-        return at, self.key[depth][at]
+            at = np.flatnonzero((self.context(depth) >= self.least) & ~self.once[depth - 1])
+            self.asked.append((at, *np.unique(longer[at], return_inverse=True)))
+        return self.asked[depth]
 
     def request(self, depth: int) -> dict[str, np.ndarray]:
-        at, keys = self.asked(depth)
-        distinct, n, _ = _counts(keys, self.train[at])
-        return {"key": distinct, "n": n}
+        """Of each distinct string with a frequent context: its key, and how often it is here in training texts and in all."""
+        at, distinct, where = self._ask(depth)
+        n = np.bincount(where[self.train[at]], minlength=len(distinct))
+        return {"key": distinct, "n": n, "all": np.bincount(where, minlength=len(distinct))}
 
     def told(self, depth: int, values: np.ndarray) -> None:
-        """values: for each distinct key asked, ascending, twice its count, and 1 more if it is this stretch's own."""
-        at, keys = self.asked(depth)
-        distinct, where = np.unique(keys, return_inverse=True)
+        """values: for each distinct string asked, in order: 4 times its count, plus 2 if it occurs once, plus 1 if it is own."""
+        at, distinct, where = self._ask(depth)
         if len(distinct) != len(values):
             raise ValueError("a stretch isn't answered in full")
-        count, owned = np.zeros(len(self.token), np.int64), np.zeros(len(self.token), bool)
-        count[at] = values[where] >> 1
-        first = np.full(len(distinct), len(self.token))
-        np.minimum.at(first, where, at)
+        once = np.zeros(len(self.token), bool) if not depth else self.once[depth - 1] & (self.context(depth) >= self.least)
+        count, owned = np.where(once & self.train, 1, 0), once & self.train
+        count[at] = values[where] >> 2
+        once[at] = (values[where] & 2) > 0
+        first = np.full(len(distinct), -1)
+        first[where[::-1]] = at[::-1]
         owned[first[(values & 1) > 0]] = True
         self.count.append(count)
         self.owned.append(owned)
-
-    def divergence(self, depth: int, tokens: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-        """Of each frequent context of depth symbols: its key, and what this stretch's own pairs add to its divergence.
-
-        Also the places that have such contexts, and which of the contexts.
-        """
+        self.once.append(once)
+        self.frequent.append(values >> 2 >= self.least)
+
+    def _contexts(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places with a frequent context of depth symbols, and its number among the frequent strings of the depth before."""
+        at, _, where = self.asked[depth - 1]
+        which = np.zeros(len(self.token), np.int64)
+        which[at] = np.cumsum(self.frequent[depth - 1])[where] - 1
+        on = np.flatnonzero(self.context(depth) >= self.least)
+        return on, which[on - 1]
+
+    def divergence(self, depth: int, tokens: int) -> dict[str, np.ndarray]:
+        """Of each frequent context of depth symbols: its key, and what this stretch's own strings add to its divergence."""
+        on, which = self._contexts(depth)
+        distinct = self.asked[depth - 1][1][self.frequent[depth - 1]]
         context = self.context(depth)
-        at = np.flatnonzero(context >= self.least)
-        key = self.key[depth - 1][at - 1]
-        distinct, where = np.unique(key, return_inverse=True)
-        own = self.owned[depth][at] & (self.count[depth][at] > 0)
-        mine = at[own]
+        own = self.owned[depth][on] & (self.count[depth][on] > 0)
+        mine, of = on[own], which[own]
         share = self.count[depth][mine] / context[mine]
         above = self.count[depth - 1][mine] / (self.context(depth - 1)[mine] if depth > 1 else max(1, tokens))
         part = np.rint(share * np.log(share / above) * UNIT).astype(np.int64)
-        apart, kinds, total = (np.zeros(len(distinct), np.int64) for _ in range(3))
-        np.add.at(apart, where[own], part)
-        np.add.at(kinds, where[own], 1)
-        total[where] = context[at]
-        return {"key": distinct, "apart": apart, "kinds": kinds, "total": total}, at, where
-
-    def kept(self, depth: int, values: np.ndarray, tokens: int) -> None:
-        """values: for each distinct frequent context, ascending by key, how many kinds follow it; 0 if it isn't retained."""
-        _, at, where = self.divergence(depth, tokens)
+        apart, total = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        np.add.at(apart, of, part)
+        total[which] = context[on]
+        return {"key": distinct, "apart": apart, "kinds": np.bincount(of, minlength=len(distinct)), "total": total}
+
+    def kept(self, depth: int, values: np.ndarray) -> None:
+        """values: for each frequent context, in order of divergence(), how many kinds follow it; 0 if it isn't retained."""
+        on, which = self._contexts(depth)
         kinds = np.zeros(len(self.token), np.int64)
-        kinds[at] = values[where]
+        kinds[on] = values[which]
         self.kinds.append(kinds)
 
     def scores(self, depth: int, tokens: int, vocabulary: int, once: int) -> dict[str, np.ndarray]:
@@ -216,7 +234,6 @@ def _reader(uri: str, buckets: int, least: int):
     """Cuts texts into stretches, writes each one's file and asks for the counts of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, folder = filesystem(uri)
         part, serial = TaskContext.get().partitionId(), 0
         numbers, tokens, docs, held = _Numbers(), [], [], 0
 
@@ -227,12 +244,8 @@ def _reader(uri: str, buckets: int, least: int):
             hashes = np.array([BEGIN, END, *(xxhash.xxh3_64_intdigest(w) for w in numbers)], np.uint64)
             row = np.concatenate(tokens)
             numbers, tokens, docs, held, serial = _Numbers(), [], [], 0, serial + 1
-            name = f"{who}-{uuid.uuid4().hex}"  # a task that runs again writes a file of its own
-            raw = [pack(_DOCS, columns), pack(_TOKENS, {"token": row}), pack(_WORDS, {"hash": hashes})]
-            with files.open_output_stream(f"{folder}/{name}") as out:
-                for r in raw:
-                    out.write(len(r).to_bytes(8, "little") + r)
-            made = [(TEXT, who, 0, name.encode()), *_bucketed(_level(ASK, 0), who, _ASK, _Stretch(columns, row, hashes, least).request(0), buckets)]
+            name = _write(uri, who, [pack(_DOCS, columns), pack(_TOKENS, {"token": row}), pack(_WORDS, {"hash": hashes})])
+            made = [(TEXT, who, 0, name), *_bucketed(_level(ASK, 0), who, _ASK, _Stretch(columns, row, hashes, least).request(0), buckets)]
             release()
             return _batch(made)
 
@@ -254,16 +267,31 @@ def _reader(uri: str, buckets: int, least: int):
     return run
 
 
-def _opened(uri: str, name: bytes, least: int) -> _Stretch:
+def _write(uri: str, who: int, parts: list[bytes]) -> bytes:
+    """Write a file of a stretch and return its name, which no other attempt at the same work shares."""
+    files, folder = filesystem(uri)
+    name = f"{who}-{uuid.uuid4().hex}"
+    with files.open_output_stream(f"{folder}/{name}") as out:
+        for p in parts:
+            out.write(len(p).to_bytes(8, "little") + p)
+    return name.encode()
+
+
+def _parts(uri: str, name: bytes) -> list[bytes]:
     files, folder = filesystem(uri)
     with files.open_input_file(f"{folder}/{name.decode()}") as f:
         raw = f.read()
     parts, at = [], 0
-    for fields in (_DOCS, _TOKENS, _WORDS):
-        size = int.from_bytes(raw[at : at + 8], "little")
-        parts.append(unpack(fields, raw[at + 8 : at + 8 + size])[0])
-        at += 8 + size
-    return _Stretch(parts[0], parts[1]["token"], parts[2]["hash"], least)
+    while at < len(raw):
+        end = at + 8 + int.from_bytes(raw[at : at + 8], "little")
+        parts.append(raw[at + 8 : end])
+        at = end
+    return parts
+
+
+def _opened(uri: str, name: bytes, least: int) -> _Stretch:
+    docs, token, words = (unpack(f, p)[0] for f, p in zip((_DOCS, _TOKENS, _WORDS), _parts(uri, name), strict=True))
+    return _Stretch(docs, token["token"], words["hash"], least)
 
 
 def _adder(depth: int):
@@ -275,7 +303,7 @@ def _adder(depth: int):
             for kind, answer in ((_level(ASK, depth), _level(COUNT, depth)), (_level(TEST, depth - 1), _level(KEPT, depth - 1))):
                 if kind not in rows:
                     continue
-                asked = [unpack(_ASK if answer == _level(COUNT, depth) else _TEST, d)[0] for _, d in rows[kind]]
+                asked = [_unbucketed(_ASK if answer == _level(COUNT, depth) else _TEST, d) for _, d in rows[kind]]
                 key = np.concatenate([a["key"] for a in asked])
                 order = np.argsort(key, kind="stable")  # so that equal keys are in the order of stretches
                 key = key[order]
@@ -288,7 +316,8 @@ def _adder(depth: int):
                     trained = np.flatnonzero(n > 0)
                     owner = np.zeros(len(key), np.int64)
                     owner[trained[np.flatnonzero(np.concatenate(([True], group[trained][1:] != group[trained][:-1])))] if len(trained) else trained] = 1
-                    value[order] = total[group] << 1 | owner
+                    single = np.add.reduceat(np.concatenate([a["all"] for a in asked])[order], begins) == 1
+                    value[order] = total[group] << 2 | single[group] << 1 | owner
                     if depth == 0:
                         words = key[begins] != BEGIN
                         seen, once = words & (total > 0), words & (total == 1) & (key[begins] != END)
@@ -316,27 +345,32 @@ def _asker(uri: str, buckets: int, least: int, deepest: int, depth: int, totals:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for who, rows in _grouped(batches):
-            stretch = _opened(uri, rows[TEXT][0][1], least)
+            # The first file is the text; each step's answers are one more.
+            names = rows[TEXT][0][1].split()
+            stretch = _opened(uri, names[0], least)
 
             def answer(kind: int, d: int, rows: dict = rows) -> np.ndarray:
                 many = [unpack(_ANSWER, data)[0]["value"] for _, data in rows.get(_level(kind, d), [])]
                 return np.concatenate(many) if many else np.empty(0, np.int64)
 
+            told = [[unpack(_ANSWER, p)[0]["value"] for p in _parts(uri, n)] for n in names[1:]]
+            told.append([answer(COUNT, depth - 1), answer(KEPT, depth - 2)])
             for d in range(min(depth, deepest + 1)):
-                stretch.told(d, answer(COUNT, d))
+                stretch.told(d, told[d][0])
             if depth == deepest + 2:
                 for d in range(1, deepest + 1):
-                    stretch.kept(d, answer(KEPT, d), tokens)
+                    stretch.kept(d, told[d + 1][1])
                 docs, made = stretch.docs, stretch.scores(deepest, tokens, vocabulary, once)
                 key = pa.array(docs["doc"], pa.int64(), mask=docs["null"] > 0)
                 train = pa.array(np.full(len(docs["doc"]), tokens, np.int64))
                 yield pa.RecordBatch.from_arrays([key, pa.array(docs["held"] > 0), pa.array(made["n_tokens"]), pa.array(made["n_known"]), train, pa.array(made["base_score"]), pa.array(made["score"])], [c.split()[0] for c in SCORED.split(", ")])
                 continue
-            out = [(k, who, w, d) for k, many in rows.items() for w, d in many]
+            names.append(_write(uri, who, [pack(_ANSWER, {"value": v}) for v in told[-1]]))
+            out = [(TEXT, who, 0, b" ".join(names))]
             if depth <= deepest:
                 out += _bucketed(_level(ASK, depth), who, _ASK, stretch.request(depth), buckets)
             if depth > 1:
-                out += _bucketed(_level(TEST, depth - 1), who, _TEST, stretch.divergence(depth - 1, tokens)[0], buckets)
+                out += _bucketed(_level(TEST, depth - 1), who, _TEST, stretch.divergence(depth - 1, tokens), buckets)
             yield _batch(out)
 
     return run
@@ -359,6 +393,8 @@ def score(docs: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
     and count each. No rows to learn from: the end and the unknown word are as likely. Empty table: no rows. Only doc_id
     and text are looked at.
     """
+    if least < 2:
+        raise ValueError("a context has to occur twice at least")
     spark = docs.sparkSession
     ship(spark)
     uri = scratch(spark, "suffix-tree")
