@@ -8,6 +8,9 @@ import os
 import sys
 import time
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from lodestone.engine import Engine, RelatedSymbol, SymbolEntry
 from lodestone.sources.files import collect_files
 
@@ -16,6 +19,11 @@ def clip(text: str, most: int) -> str:
     return text if len(text) <= most else text[: most - 3] + "..."
 
 
+def clipped(text: Column, most: Column) -> Column:
+    """clip() of a column."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, F.lit(1), most - 3), F.lit("..."))).otherwise(text)
+
+
 def show_entry(e: SymbolEntry) -> None:
     print(f"  [{e.kind}] {e.name}  {e.file_path}:{e.start_line}-{e.end_line}" + (f"  in {e.parent_class}" if e.parent_class else ""))
     if e.signature:
@@ -44,8 +52,8 @@ def make_engine(paths: list[str]) -> Engine:
 
 
 def cmd_index(engine: Engine) -> None:
-    for language, n in engine.language_counts().items():
-        print(f"  {language}: {n}")
+    for label, n in engine.label_counts().items():
+        print(f"  {label}: {n}")
 
 
 def cmd_query(engine: Engine, name: str, depth: int) -> None:
@@ -125,7 +133,8 @@ def main(argv: list[str] | None = None) -> None:
     for name in ("query", "lookup", "search", "opencode"):
         p = commands.add_parser(name)
         p.add_argument("name")
-        p.add_argument("paths", nargs="+")
+        p.add_argument("paths", nargs="*")
+        p.add_argument("--path", nargs="+", default=[], dest="more")
         if name == "query":
             p.add_argument("--depth", type=int, default=2)
         if name == "search":
@@ -133,8 +142,12 @@ def main(argv: list[str] | None = None) -> None:
     p = commands.add_parser("symbols")
     p.add_argument("file")
     p.add_argument("paths", nargs="*")
+    p.add_argument("--path", nargs="+", default=[], dest="more")
     a = parser.parse_args(argv)
-    paths = a.paths or [os.path.dirname(os.path.abspath(a.file))]
+    paths = [*a.paths, *getattr(a, "more", [])]
+    if not paths and a.command != "symbols":
+        parser.error("no files or folders; give them as --path")
+    paths = paths or [os.path.dirname(os.path.abspath(a.file))]
     with make_engine(paths) as engine:
         if a.command == "repl":
             repl(engine)

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.model import ALL_RELATIONS, DensityConfig
+from lodestone.functions.model import ALL_RELATIONS, DensityConfig, report_label
 from lodestone.operators import lookup, search, smart, snippet, traverse
 from lodestone.plans.numbering import cut
 from lodestone.plans.store import Graph
@@ -174,6 +174,11 @@ class Engine:
         rows = search.language_counts(search.file_tree(self.graph)).orderBy(F.desc("n"), "language").collect()
         return {r["language"]: r["n"] for r in rows}
 
+    def label_counts(self) -> dict[str, int]:
+        """Files by the labels of reports, most first."""
+        rows = search.file_tree(self.graph).groupBy(report_label(F.col("path")).alias("label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").collect()
+        return {r["label"]: r["n"] for r in rows}
+
     @staticmethod
     def pincer_extract(spark: SparkSession, file_path: str, start_line: int, end_line: int, target: str, radius: int = 7) -> SnippetResult:
         """A snippet of one file; needs no index."""

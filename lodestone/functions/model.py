@@ -111,6 +111,19 @@ EXTENSIONS = {
 }
 
 
+# The labels that reports give files, by extension; others are "Other".
+EXTENSION_LABELS = {
+    "c": "C", "h": "C/C++", "cpp": "C++", "cxx": "C++", "cc": "C++", "hpp": "C++", "hxx": "C++", "py": "Python", "java": "Java", "js": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript",
+    "jsx": "JavaScript", "ts": "TypeScript", "mts": "TypeScript", "tsx": "TypeScript", "rs": "Rust", "go": "Go", "cs": "C#",
+}
+
+
+def report_label(path: Column) -> Column:
+    """The label of a file in reports, by the text after its last dot."""
+    found = F.element_at(F.create_map(*(F.lit(x) for pair in EXTENSION_LABELS.items() for x in pair)), ascii_lower(F.substring_index(path, ".", -1)))
+    return F.when(F.instr(path, ".") > 0, F.coalesce(found, F.lit("Other"))).otherwise(F.lit("Other"))
+
+
 def language_of(path: Column) -> Column:
     """The language that the text after the last dot stands for, '' for none."""
     found = F.element_at(F.create_map(*(F.lit(x) for pair in EXTENSIONS.items() for x in pair)), ascii_lower(F.substring_index(path, ".", -1)))

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.plans.shared import shared_dir
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder that the cluster shares; one machine without such a folder gets one of its own."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lodestone-"))
+    """df checkpointed in the folder that the cluster shares."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.cli import clipped
 from lodestone.functions.model import KIND, RELATIONS, SEMANTIC_RELATIONS, DensityConfig, inverse_of, kind_label, kind_of_label, language_of, relation_bit, relation_label
 from lodestone.operators import density, lookup, search, smart, snippet, traverse
 from lodestone.plans.store import Graph
@@ -331,8 +332,7 @@ def snippet_signature_clip(spark, sf_dir):
     """Signatures cut to 20 characters, as the console shows them."""
     graph = graph_of(spark, sf_dir)
     text = F.concat_ws(" ", "name", "parent_class", "signature")
-    clipped = F.when(F.length(text) > 20, F.concat(F.substring(text, 1, 17), F.lit("..."))).otherwise(text)
-    return graph.symbols.filter(F.col("kind") == KIND["Struct"]).select("symbol_id", clipped.alias("shown"))
+    return graph.symbols.filter(F.col("kind") == KIND["Struct"]).select("symbol_id", clipped(text, F.lit(20)).alias("shown"))
 
 
 @register

@@ -112,10 +112,16 @@ class Source:
             i += 1
         return hi
 
-    def calls(self, lo: int, hi: int, chain: frozenset[str] = frozenset({".", "?.", "->", "::"}), generic: bool = False) -> list[str]:
-        """Names of what is called, an outer call before those in its callee and arguments."""
+    def calls(self, lo: int, hi: int, chain: frozenset[str] = frozenset({".", "?.", "->", "::"}), generic: bool = False, macros: bool = False) -> list[str]:
+        """Names of what is called, an outer call before those in its callee and arguments. macros: what a name and ! are given are tokens, not calls."""
         found: list[tuple[int, int, str]] = []
+        after = lo
         for i in range(lo, hi):
+            if i < after:
+                continue
+            if macros and self.text(i) == "!" and self.is_name(i - 1) and self.text(i + 1) in ("(", "[", "{"):
+                after = self.close(i + 1, hi) + 1
+                continue
             if self.text(i) != "(" or self.kind(i) != "punct":
                 continue
             at = i - 1

@@ -175,8 +175,8 @@ class _Parser:
 
     def declaration(self, i: int, hi: int, parent: str | None, in_class: bool) -> int:
         s, first, k = self.s, i, i
-        bracket, equals = -1, -1  # the parameters' bracket; the first sign of a value
-        body = -1
+        bracket, equals, pointed = -1, -1, -1  # the parameters' bracket; the first sign of a value; the bracket of (*name)
+        body, typed = -1, i  # typed: after a record or enum that is the type
         while k < hi:
             x = s.text(k)
             if s.kind(k) == "directive":
@@ -190,7 +190,7 @@ class _Parser:
                 if after != k:
                     if s.text(after) == ";" or after >= hi:
                         return after + 1
-                    k = after
+                    k = typed = after
                     continue
             if x == "operator" and s.is_name(k):
                 k += 1
@@ -207,7 +207,9 @@ class _Parser:
             if x == "(":
                 callee = s.text(k - 1)
                 named = (s.is_name(k - 1) and callee not in ("__attribute__", "__declspec", "alignas", "decltype", "noexcept", "throw", "requires")) or callee == ">" or any(s.text(b) == "operator" for b in range(max(first, k - 4), k))
-                if bracket < 0 and equals < 0 and named:
+                if bracket < 0 and equals < 0 and k > first and s.text(k + 1) in ("*", "&", "^") and s.text(s.close(k) + 1) == "(":
+                    pointed, bracket = k, s.close(k) + 1
+                elif bracket < 0 and equals < 0 and named:
                     bracket = k
                 k = s.close(k) + 1
                 continue
@@ -237,11 +239,11 @@ class _Parser:
             k += 1
         if body >= 0:
             end = s.close(body)
-            self.function(first, bracket, body, end, parent)
+            self.function(first, bracket, body, end, parent, pointed)
             return end + 1
         if in_class:
             return k + 1  # members without a body have no rows
-        self.plain(first, bracket, equals, min(k, hi), parent)
+        self.plain(first, bracket, equals, min(k, hi), parent, pointed, typed)
         return k + 1
 
     def name_before(self, first: int, bracket: int) -> tuple[str, str, int]:
@@ -277,9 +279,16 @@ class _Parser:
                 break
         return name, scope, max(k, first)
 
-    def function(self, first: int, bracket: int, body: int, end: int, parent: str | None) -> None:
+    def declared(self, first: int, bracket: int, pointed: int) -> tuple[str, str, int]:
+        """name_before(), or of a declarator like (*name)(…) the first name in its bracket."""
+        if pointed < 0:
+            return self.name_before(first, bracket)
         s = self.s
-        name, scope, begin = self.name_before(first, bracket)
+        return next((s.text(k) for k in range(pointed, s.close(pointed)) if s.is_name(k) and s.text(k) not in PRIMITIVE), ""), "", pointed
+
+    def function(self, first: int, bracket: int, body: int, end: int, parent: str | None, pointed: int) -> None:
+        s = self.s
+        name, scope, begin = self.declared(first, bracket, pointed)
         owner = parent or scope or None
         if not self.sink.symbol(name, "Function", s.line(first), s.last_line(end), trimmed(s.source[s.t[first].start : s.t[body].start]), owner):
             return
@@ -303,18 +312,18 @@ class _Parser:
             found.update(s.text(k) for k in own)
         return sorted(found)
 
-    def plain(self, first: int, bracket: int, equals: int, end: int, parent: str | None) -> None:
+    def plain(self, first: int, bracket: int, equals: int, end: int, parent: str | None, pointed: int = -1, typed: int = 0) -> None:
         """A declaration without a body: a prototype, or a variable for each declarator."""
         s = self.s
         if end <= first or s.text(first) in ("return", "goto", "friend", "static_assert", "_Static_assert", "asm"):
             return
         if bracket >= 0 and (equals < 0 or bracket < equals):
-            name, scope, begin = self.name_before(first, bracket)
+            name, scope, begin = self.declared(first, bracket, pointed)
             if begin > first or name.startswith("~") or scope:
                 self.sink.symbol(name, "Function", s.line(first), s.last_line(end), trimmed(s.slice(first, end), ";"), parent or scope or None)
             return
         names = []
-        for a, b in s.items(first, end):
+        for a, b in s.items(max(first, typed), end):
             b = s.until(a, b, {"=", "{", ":"}, True)
             k = b - 1
             while k > a and s.text(k) in ("]", ")") and k in s.match:

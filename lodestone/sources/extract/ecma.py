@@ -170,7 +170,8 @@ class _Parser:
             k = s.angle(k, hi) if s.text(k) == "<" else s.close(k) + 1 if s.text(k) == "(" else k + 1
         end = s.close(k)
         if self.sink.symbol(name, "Class", s.line(i), s.last_line(end), None, parent):
-            self.sink.edges(name, self.bases(head, k), "Inherits")
+            # Of a member path, as React.Component, the last part is the base.
+            self.sink.edges(name, [b.rpartition(".")[2] for b in self.bases(head, k)], "Inherits")
         self.members(k + 1, end, name)
         return end + 1
 

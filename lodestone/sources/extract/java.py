@@ -14,6 +14,7 @@ PRIMITIVE = frozenset("void boolean byte short int long float double char var ex
 class _Parser:
     def __init__(self, text: str, sink: Sink):
         self.s, self.sink = Source(text, JAVA, NOT_CALLED), sink
+        self.note = False  # inside an annotation type
 
     def types(self, lo: int, hi: int) -> list[str]:
         """Type names of a range: of a generic type its bare name only, of a qualified one the last part."""
@@ -118,7 +119,9 @@ class _Parser:
         signature = trimmed(s.source[s.t[first].start : s.t[k].start]) if word in ("class", "record", "interface") else None
         if self.sink.symbol(name, kind, s.line(first), s.last_line(end), signature, parent):
             self.sink.edges(name, [*heads.get("extends", []), *heads.get("implements", [])], "Inherits", MOST_ITEMS)
+        outer, self.note = self.note, word == "@interface"
         self.body(k + 1, end, name, word == "enum")
+        self.note = outer
         return end + 1
 
     def method(self, first: int, typed: int, bracket: int, hi: int, parent: str | None) -> int:
@@ -128,6 +131,8 @@ class _Parser:
             k += 1
         body = s.text(k) == "{"
         end = s.close(k) if body else k
+        if self.note and not body:
+            return end + 1  # an annotation's elements have no rows
         self.callable(first, bracket - 1, typed, bracket - 1, bracket, k if body else -1, min(end, hi - 1 if not body and end >= hi else end), parent)
         return end + 1
 

@@ -97,7 +97,7 @@ class _Parser:
             return k + 1  # told of, without a body
         end = s.close(k)
         if self.sink.symbol(name, "Function", s.line(first), s.last_line(end), trimmed(s.source[s.t[first].start : s.t[k].start]), parent):
-            self.sink.edges(name, s.calls(k, end, generic=True), "Calls")
+            self.sink.edges(name, s.calls(k, end, generic=True, macros=True), "Calls")
             if arrow >= 0:
                 where = next((j for j in range(arrow, k) if s.text(j) == "where"), k)
                 self.sink.edge(name, self.type_name(arrow, where), "Returns")

@@ -89,10 +89,24 @@ def index_files(spark: SparkSession, paths: list[str], config: PreprocessConfig
     """The graph of these files, and how many they are. Files are spread evenly over the cluster before they are parsed."""
     files = read_files(spark, paths, limit)
     count = files.count()
-    if not count:
-        return Graph.empty(spark), 0
-    slots = max(spark.sparkContext.defaultParallelism, -(-count // 200))
-    rows = cut(extract_rows(files.repartition(min(slots, count), "file_ord", "file_path"), config))
+    return (graph_of_rows(spread(files, count), config), count) if count else (Graph.empty(spark), 0)
+
+
+def spread(files: DataFrame, count: int) -> DataFrame:
+    """files dealt evenly, some 200 to a task at most, so that parsing uses the whole cluster."""
+    slots = max(files.sparkSession.sparkContext.defaultParallelism, -(-count // 200))
+    return files.repartition(max(1, min(slots, count)), "file_ord", "file_path")
+
+
+def graph_of_rows(files: DataFrame, config: PreprocessConfig | None = None) -> Graph:
+    """The graph of files (file_ord, file_path, lang, content); rows are extracted once and numbered in file and emission order."""
+    rows = cut(extract_rows(files, config))
     symbols = numbered(rows.filter("row_type = 'S'"), ["file_ord", "emit_ord"], "symbol_id").select(*SYMBOL_SCHEMA.fieldNames())
     edges = numbered(rows.filter("row_type = 'E'"), ["file_ord", "emit_ord"], "edge_id").select(*EDGE_SCHEMA.fieldNames())
-    return Graph(symbols, edges), count
+    return Graph(symbols, edges)
+
+
+def graph_of_files(files: DataFrame) -> Graph:
+    """The graph of files (file_path, lang, content) in the order of their paths."""
+    ordered = numbered(files, ["file_path"], "file_ord", first=0)
+    return graph_of_rows(ordered.repartition("file_ord", "file_path"))

@@ -63,7 +63,7 @@ def test_engine(spark, tree):
 
 def test_command_line(tree, capsys, spark, monkeypatch):
     for argv, want in (
-        (["index", str(tree)], "python: 1"), (["query", "run", str(tree), "--depth", "1"], "Calls -> "), (["lookup", "helper", str(tree)], "def helper(x)"), (["search", "twi", str(tree)], "twice"),
+        (["index", str(tree)], "Python: 1"), (["query", "run", str(tree), "--depth", "1"], "Calls -> "), (["lookup", "helper", str(tree)], "def helper(x)"), (["search", "twi", str(tree)], "twice"),
         (["symbols", str(tree / "a.py")], "Base"), (["opencode", "helper", str(tree)], "return x"),
     ):
         cli.main(argv)
@@ -122,16 +122,43 @@ def test_preprocessing(spark, tree):
 
 
 def test_stream(spark, tmp_path):
-    from lodestone.streaming.incremental import follow
+    """New, changed and removed files; a start with only the checkpoint goes on from what was kept there."""
+    from lodestone.streaming.incremental import follow, refresh
 
-    folder = tmp_path / "in"
+    folder, state = tmp_path / "in", str(tmp_path / "c")
     folder.mkdir()
-    (folder / "a.py").write_text("def one(): pass\n")
     seen = []
-    follow(spark, str(folder), str(tmp_path / "c"), seen.append).awaitTermination()
-    assert {r["name"] for r in seen[-1].symbols.collect()} >= {"one"}
+
+    def names():
+        follow(spark, str(folder), state, seen.append).awaitTermination()
+        return {r["name"].rpartition("/")[2] for r in seen[-1].symbols.collect()}
+
+    (folder / "a.py").write_text("def one(): pass\n")
+    (folder / "notes.txt").write_text("no source")
+    assert names() == {"a.py", "one"}
     time.sleep(1.1)
     (folder / "a.py").write_text("def two(): pass\n")
     (folder / "b.py").write_text("def three(): pass\n")
-    follow(spark, str(folder), str(tmp_path / "c"), seen.append, start=seen[-1]).awaitTermination()
-    assert {r["name"] for r in seen[-1].symbols.collect()} >= {"two", "three"} and not seen[-1].symbols.filter("name = 'one'").count()
+    assert names() == {"a.py", "two", "b.py", "three"}
+    ids = [r["symbol_id"] for r in seen[-1].symbols.collect()]
+    assert len(set(ids)) == len(ids)
+    (folder / "b.py").unlink()
+    assert names() == {"a.py", "two"}
+    assert seen[-1].edges.filter("file_path like '%b.py'").count() == 0
+    found = refresh(spark, str(folder), f"{state}/versions")
+    assert (found.indexed, found.dropped) == (0, 0)
+    (folder / "a.py").unlink()
+    assert names() == set() and len(seen) == 4
+
+
+def test_stream_from_a_graph(spark, tmp_path):
+    from lodestone.sources.files import index_files
+    from lodestone.streaming.incremental import refresh
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.py").write_text("def one(): pass\n")
+    (tmp_path / "other.py").write_text("def other(): pass\n")
+    start, _ = index_files(spark, [str(tmp_path / "other.py"), str(tmp_path / "in" / "a.py")])
+    found = refresh(spark, str(tmp_path / "in"), str(tmp_path / "state"), start)
+    assert (found.indexed, found.dropped) == (1, 0)
+    assert sorted(r["name"].rpartition("/")[2] for r in found.graph.symbols.collect()) == ["a.py", "one", "other", "other.py"]

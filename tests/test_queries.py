@@ -4,8 +4,12 @@ import pytest
 from oracle import differ
 
 import __spark_entry__ as entry
-from lodestone.oracles import ORACLES
-from lodestone.queries import QUERIES
+from lodestone.oracles import ORACLES as GRAPH_ORACLES
+from lodestone.oracles_extract import ORACLES as EXTRACT_ORACLES
+from lodestone.queries import QUERIES as GRAPH_QUERIES
+from lodestone.queries_extract import QUERIES as EXTRACT_QUERIES
+
+QUERIES, ORACLES = GRAPH_QUERIES | EXTRACT_QUERIES, GRAPH_ORACLES | EXTRACT_ORACLES
 
 
 def test_each_query_has_sql():
