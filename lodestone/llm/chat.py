@@ -27,11 +27,11 @@ def rotate(turns: DataFrame) -> DataFrame:
     roles, combined before they are shuffled.
 
     Nulls: a null role is the participant 'unknown', a null text is empty, null ids are one conversation, null turns come
-    first. Equal turns of a conversation are ordered by role and a hash of the text. A conversation of instructions only
+    first. Equal turns of a conversation are ordered by role and the SHA-256 of the text. A conversation of instructions only
     has no sides and no rows. Empty table: no rows. Other columns are not looked at.
     """
     said = turns.select("conv_id", "turn", F.coalesce("role", F.lit(UNNAMED)).alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
-    said = said.withColumn("tie", F.xxhash64("text"))
+    said = said.withColumn("tie", F.sha2(F.col("text").cast("binary"), 256))
     # One key without nulls, so that grouping and joining by it share one exchange of the texts.
     name = F.concat_ws(" ", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("conv_id", "turn", "tie")), F.col("speaker"))
     said = said.withColumn("_key", name)

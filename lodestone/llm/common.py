@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.plans.numbering import cut
+from lodestone.plans.shared import scratch, shared_dir
+
+__all__ = ["crc_of_id", "cut", "prefix_sums", "ranged", "read", "refuse", "release", "scratch", "shared_dir"]
+
 #: Separators of words where a contract says `[^\x20\x09-\x0D]+`; the same set that bytes.split() uses.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,39 +24,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that driver and executors share.
-
-    It is what the session names in spark.checkpoint.dir. Only where that is unset, as in tests on one machine, a
-    temporary folder takes its place.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lodestone-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's URI in the shared folder; it is removed when the driver ends."""
-    uri = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.mkdirs(path)
-    files.deleteOnExit(path)
-    return uri
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the shared folder, so that a lost executor costs nothing behind it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def release() -> None:
     """Give memory that a Python worker no longer uses back to the machine, between one large piece of work and the next."""
     pa.default_memory_pool().release_unused()
@@ -61,9 +31,15 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def rows_per_partition(df: DataFrame, rows: int) -> int:
-    """How many partitions hold df at so many rows each, 2 at least."""
-    return max(2, -(-df.count() // rows))
+#: Rows of a range partition, and the most range partitions; beyond that they grow.
+RANGE_ROWS, MOST_RANGES = 250_000, 20_000
+
+
+def refuse(keep: Sequence[str], made: Sequence[str]) -> None:
+    """Raise if a column to keep has the name of one that an operator makes."""
+    clash = sorted(set(keep) & set(made))
+    if clash:
+        raise ValueError(f"columns {clash} would be there twice; rename them first")
 
 
 def crc_of_id(mod: int) -> Column:
@@ -71,16 +47,19 @@ def crc_of_id(mod: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % F.lit(mod), F.lit(0))
 
 
-def ranged(df: DataFrame, order: Sequence[str], rows: int = 20_000) -> DataFrame:
-    """df in range partitions of about so many rows, numbered by _part in the order of the columns.
+def ranged(df: DataFrame, order: Sequence[str], rows: int | None = None, most: int = MOST_RANGES) -> DataFrame:
+    """df in range partitions of about RANGE_ROWS rows, numbered by _part in the order of the columns.
 
+    Rows should be narrow (keys and sizes, no texts). There are as many partitions as the session uses at least, and no
+    more than most, so that neither the driver's sample for the bounds nor the blocks of the shuffle grow without bound.
     The result is checkpointed: _part is then a stored value which a retry can't change.
     """
-    n = rows_per_partition(df, rows)
+    least = df.sparkSession.sparkContext.defaultParallelism
+    n = min(most, max(2, least, -(-df.count() // (rows or RANGE_ROWS))))
     return cut(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
 
 
-def prefix_sums(df: DataFrame, order: Sequence[str], sums: dict[str, str], by: Sequence[str] = (), rows: int = 20_000) -> DataFrame:
+def prefix_sums(df: DataFrame, order: Sequence[str], sums: dict[str, str], by: Sequence[str] = (), rows: int | None = None) -> DataFrame:
     """df with, for each new column in sums, the total of the named column over all rows before in this order.
 
     by: groups that are summed apart; they must be what order begins with. No group, however large, meets in one task:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SPACE_WORD, prefix_sums
+from lodestone.llm.common import SPACE_WORD, cut, prefix_sums
 
 WEIGHTS = (5, 2, 1)
 SHARE = (3, 2)  # 150% of all sizes
@@ -62,7 +62,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: tuple[int, int
     Equal ids in a source are ordered by size. Documents of size 0 have taken 0. Empty table: no rows. Columns of docs
     other than doc_id, source, text and size are not looked at.
     """
-    narrow = docs.select("doc_id", "source", (word_count(F.col("text")) if size is None else F.col(size).cast("long")).alias("size"))
+    # Texts are read for their sizes once; what follows reads the narrow rows.
+    narrow = cut(docs.select("doc_id", "source", (word_count(F.col("text")) if size is None else F.col(size).cast("long")).alias("size")))
     keyed = narrow.withColumn("_key", random_key(seed))
     run = prefix_sums(keyed, ["source", "_key", "doc_id", "size"], {"_before": "size"}, by=["source"])
     sizes = narrow.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))

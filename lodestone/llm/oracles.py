@@ -34,7 +34,7 @@ s AS (SELECT t.*, p.perspective, CASE WHEN speaker = 'system' THEN 'system' WHEN
       FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 h AS (SELECT *, '<|im_start|>' || chat_role || CASE WHEN chat_role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS header FROM s),
 r AS (SELECT *, header || text || '<|im_end|>' || chr(10) AS rendered FROM h),
-o AS (SELECT *, (sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS stop FROM r)
+o AS (SELECT *, (sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, sha256(text) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS stop FROM r)
 SELECT conv_id, perspective, turn, speaker, chat_role, rendered, stop - length(rendered) AS start, stop, chat_role = 'assistant' AS trained,
        CASE WHEN chat_role = 'assistant' THEN stop - length(rendered) + length(header) ELSE stop END AS mask_start, stop AS mask_stop
 FROM o

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import prefix_sums
+from lodestone.llm.common import cut, prefix_sums
 
 
 def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
@@ -20,8 +20,10 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     and size. Empty table: no rows. Only doc_id and text are looked at.
     """
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    # Texts are read for their sizes once; what follows reads the narrow rows.
     narrow = docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.lit(1).alias("_one"))
-    placed = prefix_sums(narrow, ["doc_id", "text_crc32", "size"], {"_offset": "size", "_index": "_one"})
+    narrow = cut(narrow)
+    placed = cut(prefix_sums(narrow, ["doc_id", "text_crc32", "size"], {"_offset": "size", "_index": "_one"}))
     total = narrow.agg(F.sum("size").alias("_total"))  # one row
     middle = (2 * F.col("_offset") + F.col("size")).cast("double") / (2 * F.col("_total")).cast("double")
     dealt = placed.crossJoin(F.broadcast(total)).withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle * shards)).cast("int"))
