@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, ranged
+from lodestone.llm.common import cut, ranged, refuse
 
 EXACT, LIKE = 4, 128
 MOD = 1 << 32
@@ -95,7 +95,8 @@ def likeness(one: Column, other: Column) -> Column:
 
 
 def fingerprint(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns in keep and vector of every whole text."""
+    """The columns in keep and vector of every whole text; a column to keep named vector is refused."""
+    refuse(keep, ["vector"])
     return docs.select(*keep, vector(F.col("text")).alias("vector"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SPACE_WORD, cut, prefix_sums
+from lodestone.llm.common import SPACE_WORD, cut, prefix_sums, refuse
 
 WEIGHTS = (5, 2, 1)
 SHARE = (3, 2)  # 150% of all sizes
@@ -82,8 +82,10 @@ def mix_rows(docs: DataFrame, keep: Sequence[str], weights: Sequence[int] = WEIG
     A document of size s of which the mix takes t words makes t // s whole rows, and if words are left over one row with
     its first t % s words: the cut of its source's last run. Documents without words are not in the mix. n_chars, if kept, is that of the row's text. Only sizes are sorted and summed; texts are shuffled once, to
     meet what is taken of them. Nulls and repeated rows as in mix(): rows that agree in doc_id, source and size share
-    alike what is taken of them, whichever of them comes first.
+    alike what is taken of them, whichever of them comes first. Columns to keep that are named like those made on the way
+    are refused.
     """
+    refuse(keep, ["size", "_taken", "_n", "_t", "_words", "_doc_id", "_source", "_size"])
     plan = mix(docs, weights, share, epochs, seed)
     key = ["doc_id", "source", "size"]
     # Rows that agree in the key are as good as each other: what they take is listed, most first, and dealt in order.

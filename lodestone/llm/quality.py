@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import crc_of_id
+from lodestone.llm.common import crc_of_id, refuse
 from lodestone.shipping import ship
 
 CHUNK, STRIDE, KERNEL, FILTERS, DIM, HIDDEN = 512, 448, 6, 32, 8, 16
@@ -186,7 +186,9 @@ def _draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: int = SAMPLE_ROWS) -> Network:
     """Fit on at most so many labelled texts, the first in the order of a hash of the id, without those held out.
 
-    Rows with a null label or id, and labels without a text, are left out. No labels: see train().
+    Rows with a null label or id, and labels without a text, are left out. Rows of equal id and text are one text; labels
+    that differ for one id are two rows of the sample. No labels: see train(). Each step of the fit draws 3 of a text's
+    chunks.
     """
     ship(docs.sparkSession)
     mod, out = HELD_OUT
@@ -214,7 +216,11 @@ def _scorer(network: Network):
 
 
 def classify(docs: DataFrame, network: Network, keep: list[str]) -> DataFrame:
-    """The columns in keep, and score (double, 0 to 1) of each row's whole text; a null text scores as an empty one."""
+    """The columns in keep, and score (double, 0 to 1) of each row's whole text; a null text scores as an empty one.
+
+    Empty table: no rows. Repeated rows score alike. Columns to keep that are named like the new ones are refused.
+    """
+    refuse(keep, ["score", "_bytes"])
     ship(docs.sparkSession)
     chosen = docs.select(*keep, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("_bytes"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])

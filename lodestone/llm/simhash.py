@@ -1,8 +1,14 @@
-"""SimHash near-duplicates: fingerprints, a trie self-join of them and the components of its links."""
+"""SimHash near-duplicates: fingerprints, a trie self-join of them and the components of its links.
+
+Sixty-four bits tell near copies apart from others only where these are very near. For a similarity like 0.8 (Jaccard, of
+sets of shingles), whose fingerprints differ in some ten bits, similar_links() finds more links beside those of the
+tries: signatures of PERMUTATIONS least hashes are dealt by bands, and what meets in a band is linked if the signatures
+say that it is similar enough.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations, pairwise
 
 import numpy as np
@@ -11,21 +17,28 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
+from lodestone.llm.common import cut, refuse
 from lodestone.shipping import ship
 
 SHINGLE, BUDGET, SEED = 4, 4, 42
+#: Of a signature: least hashes, and those of a band. Two sets of similarity 0.8 meet in a band with a chance of 0.99.
+PERMUTATIONS, BAND = 96, 6
+#: What an estimate may lack to the similarity asked for: one deviation of PERMUTATIONS least hashes at 0.8.
+SLACK = 0.04
+_RANDOM = np.random.default_rng(9)
+FACTORS = _RANDOM.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+TERMS = _RANDOM.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 #: Fingerprints that share the bits of a bucket meet in one task up to this number; more are dealt in pairs of parts.
 PART = 2048
 #: Pairs of fingerprints that a traversal may begin with at once, for bounded memory.
 AT_ONCE = 4_000_000
 
 
-def fingerprint(text: bytes, size: int = SHINGLE) -> int:
-    """Bit i is 1 if it is set in over half the XXH64 of the text's shingles; 0 for a text without words."""
+def shingle_hashes(text: bytes, size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """XXH64 of the text's shingles, repeats included, in parts; nothing for a text without words."""
     words = text.lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -33,13 +46,185 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
         starts, ends = starts[:1], ends[-1:]
     else:
         starts, ends = starts[: len(words) - size + 1], ends[size - 1 :]
-    ones, n = np.zeros(64, np.int64), len(starts)
-    for at in range(0, n, 1 << 16):
-        hashes = np.array([xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts[at : at + (1 << 16)].tolist(), ends[at : at + (1 << 16)].tolist(), strict=True)], np.uint64)
+    for at in range(0, len(starts), 1 << 16):
+        yield np.array([xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts[at : at + (1 << 16)].tolist(), ends[at : at + (1 << 16)].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: bytes, size: int = SHINGLE) -> int:
+    """Bit i is 1 if it is set in over half the XXH64 of the text's shingles; 0 for a text without words."""
+    return _majority(shingle_hashes(text, size))
+
+
+def _majority(parts: Iterable[np.ndarray]) -> int:
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in parts:
         ones += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist())
 
 
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """The least of each of PERMUTATIONS hashes of a set of shingles; the largest number where there are none."""
+    least = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 4096):
+        np.minimum(least, (FACTORS[:, None] * shingles[None, at : at + 4096] + TERMS[:, None]).min(axis=1), out=least)
+    return least
+
+
+def _folded(values: np.ndarray) -> np.ndarray:
+    """One hash of each row of values (uint64)."""
+    x = np.full(len(values), 0x9E3779B97F4A7C15, np.uint64)
+    for column in values.T:
+        x = (x ^ column) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+    return x
+
+
+def marks(docs: DataFrame, keep: list[str], size: int) -> DataFrame:
+    """The columns in keep; _fp; _node, a hash of the set of shingles of size words; _mark: band keys and a byte of each least hash."""
+    bands = PERMUTATIONS // BAND
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, nodes, made = [], [], []
+            for text in b.column(b.num_columns - 1):
+                parts = list(shingle_hashes(text.as_py() or b"", size))
+                fps.append(_majority(parts))
+                shingles = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+                nodes.append(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
+                least = signature(shingles)
+                keys = _folded(np.column_stack([np.arange(bands, dtype=np.uint64), least.reshape(bands, BAND)]))
+                # Least values begin with zeros, so the byte is of all their bits.
+                byte = (least * np.uint64(0x94D049BB133111EB)) >> np.uint64(56)
+                made.append(keys.astype("<u8").tobytes() + byte.astype(np.uint8).tobytes())
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (fps, nodes)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *longs, pa.array(made, pa.binary())], [*b.schema.names[:-1], "_fp", "_node", "_mark"])
+
+    ship(docs.sparkSession)
+    chosen = docs.select(*keep, F.col("text").cast("binary").alias("_bytes"))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]]
+    return chosen.mapInArrow(run, ", ".join([*kinds, "_fp long", "_node long", "_mark binary"]))
+
+
+def led(bytes_of: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of equal band key: which are like one before them, which that is, and which lead, being like none that leads."""
+    rest, like, leader, leads = np.arange(len(bytes_of)), [], [], []
+    while len(rest):
+        first = rest[0]
+        near = (bytes_of[rest] == bytes_of[first]).mean(axis=1) >= similarity - SLACK
+        near[0] = False
+        like.append(rest[near])
+        leader.append(np.full(int(near.sum()), first))
+        leads.append(first)
+        near[0] = True
+        rest = rest[~near]
+    return np.concatenate(like), np.concatenate(leader), np.array(leads)
+
+
+def _banded(similarity: float):
+    """Each batch's nodes by bands; those like another of the batch are linked and go no further, so that a large group of copies shrinks before it is dealt."""
+    bands = PERMUTATIONS // BAND
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            nodes = b.column(0).to_numpy()
+            mark = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            keys, least = np.ascontiguousarray(mark[:, : 8 * bands]).view("<u8"), mark[:, 8 * bands :]
+            for band in range(bands):
+                key = keys[:, band]
+                order = np.argsort(key, kind="stable")
+                cuts = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+                sizes = np.diff(np.concatenate((cuts, [len(order)])))
+                alone = order[cuts[sizes == 1]]
+                lead, links = [alone], []
+                for s, n in zip(cuts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+                    here = order[s : s + n]
+                    like, of, leads = led(least[here], similarity)
+                    links.append((nodes[here[like]], nodes[here[of]]))
+                    lead.append(here[leads])
+                lead = np.concatenate(lead)
+                yield _marked(nodes[lead], None, key[lead].astype(np.uint64).view(np.int64), least[lead])
+                if links:
+                    yield _marked(np.concatenate([a for a, _ in links]), np.concatenate([a for _, a in links]))
+
+    return run
+
+
+def _marked(a: np.ndarray, b: np.ndarray | None, key: np.ndarray | None = None, least: np.ndarray | None = None) -> pa.RecordBatch:
+    n = len(a)
+    data = pa.nulls(n, pa.binary()) if least is None else pa.array([x.tobytes() for x in least], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.nulls(n, pa.int64()) if b is None else pa.array(b, pa.int64()), pa.nulls(n, pa.int64()) if key is None else pa.array(key, pa.int64()), data], ["a", "b", "key", "least"])
+
+
+def _band_links(similarity: float):
+    """Links of the nodes that meet in a band. Rows come by key; only those that lead are held, PART rows at a time with them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_key, held, found = None, [], []
+
+        def settle() -> None:
+            nonlocal held
+            if len(held) > 1:
+                like, of, leads = led(np.frombuffer(b"".join(x for _, x in held), np.uint8).reshape(len(held), -1), similarity)
+                found.extend((held[i][0], held[j][0]) for i, j in zip(like.tolist(), of.tolist(), strict=True))
+                held = [held[i] for i in leads.tolist()]
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
+            found.clear()
+            return made
+
+        fresh = 0
+        for b in batches:
+            for node, key, least in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if key != held_key or fresh >= PART:
+                    settle()
+                    fresh = 0
+                    if key != held_key:
+                        held_key, held = key, []
+                held.append((node, least))
+                fresh += 1
+            if found:
+                yield out()
+        settle()
+        yield out()
+
+    return run
+
+
+def similar_links(nodes: DataFrame, n: int, similarity: float) -> DataFrame:
+    """Links (a, b) between nodes (_node, _mark; n of them, distinct) whose signatures meet in a band and are similar.
+
+    A node is compared with those that lead in its bands, not with all: copies of a leader are linked to it and held no
+    longer. So a band's group costs its rows times the unlike ones in it.
+    """
+    dealt = cut(nodes.select("_node", "_mark").mapInArrow(_banded(similarity), "a long, b long, key long, least binary"))
+    parts = max(4, -(-n * (PERMUTATIONS // BAND) // 200_000))
+    met = dealt.filter("key is not null").select("a", "key", "least").repartition(parts, "key").sortWithinPartitions("key", "a").mapInArrow(_band_links(similarity), "a long, b long")
+    return dealt.filter("key is null").select("a", "b").unionByName(met)
+
+
+def first_of_similar(docs: DataFrame, row: Column, shingle: int = 5, similarity: float = 0.8, budget: int = BUDGET) -> DataFrame:
+    """Of each group of similar texts the least row, a struct that orders them, as column first.
+
+    Texts are linked if their sets of shingles are equal, if their fingerprints (of such shingles) differ in at most
+    budget bits, or if their signatures say that their sets are as similar. Texts without words are one group.
+    """
+    marked = cut(marks(docs.select(row.alias("_row"), "text"), ["_row"], shingle))
+    nodes = cut(marked.groupBy("_node").agg(F.min("_row").alias("_first"), F.min("_fp").alias("_fp"), F.min("_mark").alias("_mark")))
+    n = nodes.count()
+    # A fingerprint stands for the least node that has it; its links become links of nodes.
+    codes = cut(nodes.groupBy("_fp").agg(F.min("_node").alias("_rep")))
+    same = nodes.join(codes, "_fp").filter("_node <> _rep").select(F.col("_node").alias("a"), F.col("_rep").alias("b"))
+    near = links(codes, codes.count(), budget)
+    near = near.join(codes.select(F.col("_fp").alias("a"), F.col("_rep").alias("_a")), "a").join(codes.select(F.col("_fp").alias("b"), F.col("_rep").alias("_b")), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    stars = components(same.unionByName(near).unionByName(similar_links(nodes, n, similarity)))
+    rooted = nodes.join(stars, nodes["_node"] == stars["node"], "left").select("_first", F.coalesce("root", "_node").alias("_root"))
+    return rooted.groupBy("_root").agg(F.min("_first").alias("first")).select("first")
+
+
 def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns in keep, and _fp (the fingerprint's 64 bits as a long) of every whole text; null texts have 0."""
 
@@ -292,13 +477,6 @@ def _rooted(nodes: DataFrame, budget: int) -> DataFrame:
     return nodes.join(stars, nodes["_fp"] == stars["node"], "left").select("_fp", "_first", F.coalesce("root", "_fp").alias("_root"))
 
 
-def first_rows(docs: DataFrame, row: Column, budget: int = BUDGET) -> DataFrame:
-    """Of each component of docs the least row, a struct that orders them, as column first."""
-    marked = fingerprints(docs.select(row.alias("_row"), "text"), ["_row"])
-    nodes = cut(marked.groupBy("_fp").agg(F.min("_row").alias("_first")))
-    return _rooted(nodes, budget).groupBy("_root").agg(F.min("_first").alias("first")).select("first")
-
-
 def near_duplicates(docs: DataFrame, keep: list[str], budget: int = BUDGET) -> DataFrame:
     """The columns in keep of every row of docs, fingerprint (16 hex digits) and component_id.
 
@@ -306,8 +484,10 @@ def near_duplicates(docs: DataFrame, keep: list[str], budget: int = BUDGET) -> D
     budget or fewer differing bits. Rows of one fingerprint are one node, so copies are never paired.
 
     Nulls: a null text has fingerprint 0, as has a wordless one, and they link like any other; null ids are kept, and
-    are a component's id only if it has no other. Repeated rows are answered alike. Empty table: no rows.
+    are a component's id only if it has no other. Repeated rows are answered alike. Empty table: no rows. Columns to keep
+    that are named like the new ones are refused.
     """
+    refuse(keep, ["_fp", "fingerprint", "component_id", "_bytes"])
     marked = cut(fingerprints(docs, ["doc_id", *(c for c in keep if c != "doc_id")]))
     nodes = cut(marked.groupBy("_fp").agg(F.min("doc_id").alias("_first")))
     rooted = _rooted(nodes, budget)

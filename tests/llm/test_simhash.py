@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lodestone.llm import simhash as S
 from lodestone.llm.queries import QUERIES
@@ -18,6 +19,15 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes) > 0)
 
 
+def plain_shingles(text, size=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
+    return frozenset(tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))) if words else frozenset()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
 def roots(codes, budget=4):
     """Smallest place of each code's component, from all pairs."""
     v, parent = np.array(codes, np.uint64), list(range(len(codes)))
@@ -52,6 +62,49 @@ def test_odd_rows(odd, none, odd_rows):
     assert S.near_duplicates(odd, ["doc_id", "lang"]).columns == ["doc_id", "lang", "fingerprint", "component_id"]
 
 
+def kept(docs):
+    return {r["first"]["id"] for r in S.first_of_similar(docs, F.struct(F.col("doc_id").alias("id"))).collect()}
+
+
+def test_similar_texts_are_found(spark):
+    """Of pairs of similarity 0.8 and more, nine in ten and more are found; texts below 0.6 are left alone."""
+    rng = np.random.default_rng(3)
+    rows, pairs, lone = [], {}, []
+    for k in range(300):
+        words = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(60, 400)))]
+        other = list(words)
+        for p in rng.choice(len(words), max(1, len(words) // (60 if k % 2 else 15)), replace=False):
+            other[p] = f"new{p}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        like = jaccard(plain_shingles(rows[-2][1]), plain_shingles(rows[-1][1]))
+        if like >= 0.8:
+            pairs[2 * k + 1] = like
+        elif like < 0.6:
+            lone.append(2 * k + 1)
+    stay = kept(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert len(pairs) > 100 and len(lone) > 50
+    assert sum(k not in stay for k in pairs) >= 0.9 * len(pairs) and all(k in stay for k in lone) and all(2 * k in stay for k in range(300))
+
+
+def test_a_group_of_copies(spark):
+    """A third of the rows are near copies of one text, in many partitions: one of them stays."""
+    words = [f"w{i * i}" for i in range(400)]
+    rows = [(k, " ".join([*words[: k % 390], f"x{k}", *words[k % 390 + 1 :]])) for k in range(600)] + [(1000 + k, " ".join(f"{k}-{i}" for i in range(50))) for k in range(1200)]
+    stay = kept(spark.createDataFrame(rows, "doc_id long, text string").repartition(16, "doc_id"))
+    assert stay == {0, *range(1000, 2200)}
+
+
+def test_led():
+    rows = np.array([[0] * 96, [1] * 96, [0] * 90 + [7] * 6, [1] * 50 + [2] * 46, [0] * 96], np.uint8)
+    like, leader, leads = S.led(rows, 0.8)
+    assert dict(zip(like.tolist(), leader.tolist(), strict=True)) == {2: 0, 4: 0} and leads.tolist() == [0, 1, 3]
+
+
+def test_names_that_clash_are_refused(odd):
+    with pytest.raises(ValueError):
+        S.near_duplicates(odd.withColumn("fingerprint", F.lit(1)), ["doc_id", "fingerprint"])
+
+
 def clumped(n, seed=0):
     """Codes with many near each other."""
     rng = np.random.default_rng(seed)
