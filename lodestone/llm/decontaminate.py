@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import pickle
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,14 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.blocks import filesystem
+from lodestone.llm.common import refuse, scratch
 from lodestone.shipping import ship
 
 #: Words of lower-cased UTF-8: digits, a to z and whatever isn't ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW = 10
 SHARD_BYTES = 4 << 20
-#: The benchmark is a stated query set that every executor holds whole; a larger one is refused, to be given in parts.
-MOST_BENCHMARK_BYTES = 128 << 20
+#: The benchmark is a stated query set, searched in parts of so much text; a worker holds one part at a time, or a few.
+PART_BYTES, HELD_PARTS = 1 << 20, 4
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -121,50 +126,90 @@ def _longest(bench: Benchmark, text: np.ndarray, places: np.ndarray, rest: np.nd
     return best
 
 
-def search(texts: list[bytes], bench: Benchmark) -> list[tuple[int, int, list[str], int, int]]:
+def search(texts: list[bytes], bench: Benchmark | Iterable[Benchmark]) -> list[tuple[int, int, list[str], int, int]]:
     """For each text: words, words hit, names of items with a window in it, longest verbatim match in words, its place.
 
-    The texts are one shard. Only runs of words that the benchmark knows can hold a window, so only their suffixes are
-    put in the array; a run ends its suffixes.
+    The texts are one shard, and bench all parts of a benchmark. Only runs of words that a part knows can hold one of its
+    windows, so only their suffixes are put in the array; a run ends its suffixes.
     """
-    known = bench.vocabulary.get
-    each = [np.array([known(w, 0) for w in words_of(t)] + [0], np.int64) for t in texts]
-    counts = [len(e) - 1 for e in each]
-    text = np.concatenate([*each, np.zeros(1, np.int64)])
-    first = np.cumsum([0, *(len(e) for e in each)])
-    hit = np.zeros(len(text) + 1, np.int64)
-    named: list[set[int]] = [set() for _ in texts]
+    words = [words_of(t) for t in texts]
+    counts = [len(w) for w in words]
+    first = np.cumsum([0, *(n + 1 for n in counts)])
+    hit = np.zeros(int(first[-1]) + 2, np.int64)
+    named: list[set[str]] = [set() for _ in texts]
     longest, longest_at = np.zeros(len(texts), np.int64), np.full(len(texts), -1, np.int64)
-    if len(bench.starts):
-        ends = np.flatnonzero(text == 0)
-        rest = to_end(text)
-        run = ends - np.concatenate(([-1], ends[:-1])) - 1
-        rest[np.repeat(run < bench.lengths.min(), run + 1)] = 0
-        suffixes = suffix_array(text, rest)
-        here = np.zeros(len(bench.vocabulary) + 1, bool)
-        here[text[suffixes]] = True
-        asked = np.flatnonzero(here[bench.tokens[bench.starts]])
-        starts, lengths = bench.starts[asked], bench.lengths[asked]
-        low = _side(text, suffixes, bench.tokens, starts, lengths, False)
-        high = _side(text, suffixes, bench.tokens, starts, lengths, True)
-        many = high - low
-        which = np.repeat(np.arange(len(asked)), many)
-        places = suffixes[np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(len(which))]
-        np.add.at(hit, places, 1)
-        np.add.at(hit, places + lengths[which], -1)
-        doc = np.searchsorted(first, places, "right") - 1
-        for d, w in np.unique(np.stack([doc, asked[which]], 1), axis=0).tolist():
-            named[d].update(bench.of[bench.of_first[w] : bench.of_first[w + 1]].tolist())
-        places = np.unique(places)
-        doc = np.searchsorted(first, places, "right") - 1
-        length = _longest(bench, text, places, rest[places])
-        order = np.lexsort((-places, length))  # the longest last; of equals, the first place
-        longest[doc[order]], longest_at[doc[order]] = length[order], places[order] - first[doc[order]]
+    for part in [bench] if isinstance(bench, Benchmark) else bench:
+        if len(part.starts):
+            _search_part(words, part, first, hit, named, longest, longest_at)
     covered = np.cumsum(hit) > 0
-    out = []
-    for d, n in enumerate(counts):
-        out.append((n, int(covered[first[d] : first[d] + n].sum()), sorted(bench.names[i] for i in named[d]), int(longest[d]), int(longest_at[d])))
-    return out
+    return [(n, int(covered[first[d] : first[d] + n].sum()), sorted(named[d]), int(longest[d]), int(longest_at[d])) for d, n in enumerate(counts)]
+
+
+def _search_part(words: list[list[bytes]], bench: Benchmark, first: np.ndarray, hit: np.ndarray, named: list[set[str]], longest: np.ndarray, longest_at: np.ndarray) -> None:
+    """Add what one part of the benchmark finds: hit has 1 where a match begins and -1 behind it."""
+    known = bench.vocabulary.get
+    text = np.array([i for w in words for i in (*(known(x, 0) for x in w), 0)] + [0], np.int64)
+    ends = np.flatnonzero(text == 0)
+    rest = to_end(text)
+    run = ends - np.concatenate(([-1], ends[:-1])) - 1
+    rest[np.repeat(run < bench.lengths.min(), run + 1)] = 0
+    suffixes = suffix_array(text, rest)
+    here = np.zeros(len(bench.vocabulary) + 1, bool)
+    here[text[suffixes]] = True
+    asked = np.flatnonzero(here[bench.tokens[bench.starts]])
+    starts, lengths = bench.starts[asked], bench.lengths[asked]
+    low = _side(text, suffixes, bench.tokens, starts, lengths, False)
+    high = _side(text, suffixes, bench.tokens, starts, lengths, True)
+    many = high - low
+    which = np.repeat(np.arange(len(asked)), many)
+    places = suffixes[np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(len(which))]
+    np.add.at(hit, places, 1)
+    np.add.at(hit, places + lengths[which], -1)
+    doc = np.searchsorted(first, places, "right") - 1
+    for d, w in np.unique(np.stack([doc, asked[which]], 1), axis=0).tolist():
+        named[d].update(bench.names[i] for i in bench.of[bench.of_first[w] : bench.of_first[w + 1]].tolist())
+    places = np.unique(places)
+    doc = np.searchsorted(first, places, "right") - 1
+    length = _longest(bench, text, places, rest[places])
+    order = np.lexsort((-places, length))  # the longest last; of equals, the first place
+    best, best_at = np.zeros_like(longest), np.full_like(longest_at, -1)
+    best[doc[order]], best_at[doc[order]] = length[order], places[order] - first[doc[order]]
+    better = (best > longest) | ((best == longest) & (best > 0) & (best_at < longest_at))
+    longest[better], longest_at[better] = best[better], best_at[better]
+
+
+def _builder(uri: str, window: int):
+    """Writes the benchmark's parts as files and gives their names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, folder = filesystem(uri)
+        held, size = [], 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal held, size
+            name = uuid.uuid4().hex  # an attempt's own
+            with files.open_output_stream(f"{folder}/{name}") as out:
+                out.write(pickle.dumps(benchmark(held, window)))
+            held, size = [], 0
+            return pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+        for b in batches:
+            for key, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held.append((key, text))
+                size += len(text or "")
+                if size >= PART_BYTES:
+                    yield close()
+        if held:
+            yield close()
+
+    return run
+
+
+@functools.lru_cache(maxsize=HELD_PARTS)
+def _part(uri: str, name: str) -> Benchmark:
+    files, folder = filesystem(uri)
+    with files.open_input_file(f"{folder}/{name}") as f:
+        return pickle.loads(f.read())  # written by _builder
 
 
 FOUND = [("n_words", pa.int64(), "long"), ("n_hit", pa.int64(), "long"), ("items", pa.list_(pa.string()), "array<string>"), ("longest", pa.int64(), "long"), ("longest_at", pa.int64(), "long")]
@@ -175,18 +220,22 @@ def find_matches(docs: DataFrame, items: DataFrame, keep: list[str], window: int
 
     n_words, n_hit: words, and words inside any occurrence of a window; items: sorted names of the items with a window in
     the text; longest, longest_at: the longest verbatim match from where a window begins, in words, and its first place
-    (-1: none). Every shard of documents gets a suffix array, in which all the benchmark's windows are searched; nothing
-    is shuffled, so no passage, however common, makes a large group.
+    (-1: none). Every shard of documents gets a suffix array, in which all the benchmark's windows are searched, a part of
+    the benchmark after the other, however many there are; documents aren't shuffled, so no passage, however common,
+    makes a large group.
 
     Nulls: null texts have no words, nor have null items; a null item id is named 'null'. Empty tables: no rows, or no
-    hits. Repeated rows are answered alike. Columns in keep must not be named like the new ones.
+    hits. Repeated rows are answered alike. Columns to keep that are named like
+    the new ones are refused.
     """
+    refuse(keep, [n for n, _, _ in FOUND] + ["_bytes"])
     spark = docs.sparkSession
     ship(spark)
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if size > MOST_BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes; give at most {MOST_BENCHMARK_BYTES} at a time")
-    bench = spark.sparkContext.broadcast(benchmark([(r[0], r[1]) for r in items.select("item_id", "text").collect()], window))
+    uri = scratch(spark, "benchmark")
+    # Only names come here; the parts are built by tasks, and there are as many as the benchmark has bytes for.
+    built = items.select(F.col("item_id").cast("string").alias("item_id"), "text").repartition(max(1, -(-size // PART_BYTES))).mapInArrow(_builder(uri, window), "name string")
+    names = [r["name"] for r in built.collect()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -198,7 +247,7 @@ def find_matches(docs: DataFrame, items: DataFrame, keep: list[str], window: int
                 while end < len(texts) and (end == at or held + len(texts[end]) <= SHARD_BYTES):
                     held += len(texts[end])
                     end += 1
-                found = search(texts[at:end], bench.value)
+                found = search(texts[at:end], (_part(uri, n) for n in names))
                 new = [pa.array(c, k) for c, (_, k, _) in zip(zip(*found, strict=True), FOUND, strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.slice(at, end - at).columns[:-1], *new], [*b.schema.names[:-1], *(n for n, _, _ in FOUND)])
                 at = end

@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from oracle import differ
+from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate as D
 from lodestone.llm.oracles import ORACLES
@@ -65,7 +66,7 @@ def test_same_as_sql(spark, sf_dir):
     assert differ(spark, sf_dir, QUERIES["op5_decontaminate"], ORACLES["op5_decontaminate"]) == ""
 
 
-def test_odd_rows(spark, odd, none, odd_rows, monkeypatch):
+def test_odd_rows(spark, odd, none, odd_rows):
     items = [(1, "third line of some words that go on for a while"), (1, None), (None, "other text"), (2, ""), (3, " ".join(f"word{i} and{i}" for i in range(20))), (3, "other TEXT")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = D.find_matches(odd, bench, ["doc_id"]).collect()
@@ -73,6 +74,18 @@ def test_odd_rows(spark, odd, none, odd_rows, monkeypatch):
     assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["longest"], r["longest_at"])) for r in got if r["doc_id"] not in (6, 7))
     assert D.find_matches(none, bench, ["doc_id"]).count() == 0
     assert {r["n_hit"] for r in D.find_matches(odd, bench.limit(0), ["doc_id"]).collect()} == {0}
-    monkeypatch.setattr(D, "MOST_BENCHMARK_BYTES", 10)
     with pytest.raises(ValueError):
-        D.find_matches(odd, bench, ["doc_id"])
+        D.find_matches(odd.withColumn("n_hit", F.lit(1)), bench, ["doc_id", "n_hit"])
+
+
+def test_a_benchmark_in_parts(spark, odd, odd_rows, monkeypatch):
+    """Parts give what the whole gives, whichever items they hold."""
+    texts = [r[1] or "" for r in odd_rows if r[1] is None or len(r[1]) < 9000]
+    items = [(k, " ".join(t.split()[k % 3 :][:14])) for k, t in enumerate(texts)] + [(3, "other TEXT"), (None, "text"), (50, "a third line of some words")]
+    whole = D.search([t.encode() for t in texts], D.benchmark(items))
+    for cut in (1, 3, 7):
+        assert D.search([t.encode() for t in texts], [D.benchmark(items[:cut]), D.benchmark(items[cut:])]) == whole == [brute(t, items) for t in texts]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(str, D.find_matches(odd, bench, ["doc_id"]).collect()))
+    monkeypatch.setattr(D, "PART_BYTES", 40)
+    assert sorted(map(str, D.find_matches(odd, bench, ["doc_id"]).collect())) == one
