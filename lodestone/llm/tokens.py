@@ -238,11 +238,10 @@ def _writer(uri: str, path: str | None, end_id: int):
 
         def close() -> pa.RecordBatch:
             nonlocal keys, lengths, ids, held, serial
-            name = f"part-{part:06d}-{serial:05d}.s8b"
+            name = f"part-{part:06d}-{serial:05d}-{attempt}.s8b"  # an attempt's own; the list names those that count
             raw = to_file(keys, lengths, np.frombuffer(b"".join(ids), "<u4"))
-            with files.open_output_stream(f"{folder}/.{name}.{attempt}") as out:
+            with files.open_output_stream(f"{folder}/{name}") as out:
                 out.write(raw)
-            files.move(f"{folder}/.{name}.{attempt}", f"{folder}/{name}")  # a task that runs again writes the same
             row = pa.RecordBatch.from_pylist([{"part": part, "serial": serial, "file": name, "docs": len(keys), "ids": held, "bytes": len(raw)}])
             keys, lengths, ids, held, serial = [], [], [], 0, serial + 1
             release()
