@@ -47,7 +47,7 @@ SAMPLED_TEXTS, SAMPLED_SUFFIXES = 400, 200
 KINDS = "kind int, at long, data binary"
 RUNS, MARK, SPANS, ASKED, BYTES = range(5)
 
-_RUN = [("a", "u8"), ("b", "u8"), ("c", "u8"), ("doc", "i8"), ("loc", "i8"), ("q", "i8"), ("left", "u1"), ("more", "u1")]
+_RUN = [("a", "u8"), ("b", "u8"), ("c", "u8"), ("d", "u8"), ("doc", "i8"), ("loc", "i8"), ("q", "i8"), ("left", "u1"), ("more", "u1")]
 _SPAN = [("loc", "i8"), ("start", "i8"), ("end", "i8")]
 _ASK = [("a", "u8"), ("b", "u8"), ("doc", "i8"), ("loc", "i8"), ("q", "i8"), ("left", "u1"), ("more", "u1")]
 
@@ -117,9 +117,9 @@ def runs_of(texts: list[bytes], width: int = WIDTH) -> dict[str, np.ndarray]:
         owner = np.searchsorted(begins, first, "right") - 1
         rows, at = np.array([w[0] for w in waiting]), np.array([w[1] for w in waiting])
         view = memoryview(buffer)
-        c = np.array([xxhash.xxh3_64_intdigest(view[s : e + width]) for s, e in zip(first.tolist(), last.tolist(), strict=True)], np.uint64)
+        both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[s : e + width]) for s, e in zip(first.tolist(), last.tolist(), strict=True)]), ">u8").reshape(-1, 2).astype(np.uint64)
         shift = at[owner] - begins[owner]
-        out.append({"a": _read_big(buffer, q), "b": _read_big(buffer, q + 8), "c": c, "row": rows[owner], "q": q + shift, "left": (q - first).astype(np.uint8), "more": (last - first).astype(np.uint8)})
+        out.append({"a": _read_big(buffer, q), "b": _read_big(buffer, q + 8), "c": both[:, 0], "d": both[:, 1], "row": rows[owner], "q": q + shift, "left": (q - first).astype(np.uint8), "more": (last - first).astype(np.uint8)})
         waiting.clear()
         held = 0
 
@@ -133,7 +133,7 @@ def runs_of(texts: list[bytes], width: int = WIDTH) -> dict[str, np.ndarray]:
                 flush()
     if waiting:
         flush()
-    names = [("a", "u8"), ("b", "u8"), ("c", "u8"), ("row", "i8"), ("q", "i8"), ("left", "u1"), ("more", "u1")]
+    names = [("a", "u8"), ("b", "u8"), ("c", "u8"), ("d", "u8"), ("row", "i8"), ("q", "i8"), ("left", "u1"), ("more", "u1")]
     return joined(names, out)
 
 
@@ -153,7 +153,7 @@ def merge(rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 
 
 def _order_of(columns: dict[str, np.ndarray]) -> np.ndarray:
-    return multikey_order(columns["a"], columns["b"], columns["c"], columns["doc"], columns["loc"], columns["q"])
+    return multikey_order(columns["a"], columns["b"], columns["c"], columns["d"], columns["doc"], columns["loc"], columns["q"])
 
 
 def _firsts(columns: dict[str, np.ndarray], *names: str) -> np.ndarray:
@@ -189,21 +189,20 @@ def _reader(uri: str, splitters: np.ndarray, width: int):
         def close() -> pa.RecordBatch:
             nonlocal held, many, serial
             file = task.partitionId() << 16 | serial
-            runs = joined([*_RUN[:3], ("row", "i8"), *_RUN[5:]], found)
+            runs = joined([*_RUN[:4], ("row", "i8"), *_RUN[6:]], found)
             ids = np.array([-(2**63) if k is None else k for k in keys], np.int64)
             runs["doc"], runs["loc"] = ids[runs["row"]], np.int64(file) << 24 | runs["row"]
             runs = take(runs, _order_of(runs))
-            first = _firsts(runs, "a", "b", "c")
+            first = _firsts(runs, "a", "b", "c", "d")
             begin = runs["q"] - runs["left"]
             spans = merge(runs["row"][~first], begin[~first], (begin + runs["more"] + width)[~first])
             table = pa.table({"doc_id": pa.array(keys, pa.int64()), "text": pa.array(texts, pa.binary())})
             table = table.replace_schema_metadata({"spans": pack(_SPAN, dict(zip(("loc", "start", "end"), spans, strict=True)))})
-            hidden = f"{folder}/.{file}.{task.taskAttemptId()}"
-            with files.open_output_stream(hidden) as out:
+            name = f"{file}-{task.taskAttemptId()}"  # an attempt's own: nothing is written over, on any store
+            with files.open_output_stream(f"{folder}/{name}") as out:
                 pq.write_table(table, out, compression="zstd", compression_level=1, use_dictionary=False, write_statistics=False)
-            files.move(hidden, f"{folder}/{file}")  # a task that runs again writes the same
             sent = take(runs, np.flatnonzero(first))
-            rows = [(MARK, file, b""), *split(_RUN, sent, np.searchsorted(splitters, sent["a"], "right"), RUNS)]
+            rows = [(MARK, file, name.encode()), *split(_RUN, sent, np.searchsorted(splitters, sent["a"], "right"), RUNS)]
             keys.clear(), texts.clear(), found.clear()
             held, many, serial = 0, 0, serial + 1
             release()
@@ -226,13 +225,18 @@ def _reader(uri: str, splitters: np.ndarray, width: int):
     return run
 
 
+def _name(rows: list[tuple[int, bytes]]) -> str:
+    """The name of the file that rows belong to."""
+    return next(d for k, d in rows if k == MARK).decode()
+
+
 def _sorter(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, rows in by_key(batches):
             out = [(k, key, d) for k, d in rows if k != RUNS]
             runs = joined(_RUN, [unpack(_RUN, d)[0] for k, d in rows if k == RUNS])
             runs = take(runs, _order_of(runs))
-            kind = _firsts(runs, "a", "b", "c")
+            kind = _firsts(runs, "a", "b", "c", "d")
             group = np.cumsum(_firsts(runs, "a", "b"))
             begin = runs["q"] - runs["left"]
             again = np.flatnonzero(~kind)
@@ -255,7 +259,7 @@ def _fetcher(uri: str, splitters: np.ndarray, width: int):
             asked = joined(_ASK, [unpack(_ASK, d)[0] for k, d in rows if k == ASKED])
             if not len(asked["a"]):
                 continue
-            with files.open_input_file(f"{folder}/{key}") as f:
+            with files.open_input_file(f"{folder}/{_name(rows)}") as f:
                 texts = pq.read_table(f, columns=["text"]).column("text").combine_chunks()
             bucket = np.searchsorted(splitters, asked["a"], "right")
             order = np.lexsort((asked["loc"], bucket))
@@ -277,33 +281,33 @@ def _fetcher(uri: str, splitters: np.ndarray, width: int):
 def repeated_windows(asked: dict[str, np.ndarray], data: bytes, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """Of the windows of runs, those that equal an earlier window: the run's index and the window's number in its run.
 
-    Windows are equal if they lie alike about equal anchors and their bytes have one 64-bit hash, a polynomial over a
-    random table.
+    Windows are equal if they lie alike about equal anchors and their bytes have the same two 64-bit hashes, polynomials
+    over random tables.
     """
     raw = np.frombuffer(data, np.uint8)
     n = len(raw)
-    base = np.uint64(0x2545F4914F6CDD1D)
-    inverse = np.uint64(pow(0x2545F4914F6CDD1D, -1, 1 << 64))
-    table = np.random.default_rng(100).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, base))), dtype=np.uint64)
-    back = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, inverse))), dtype=np.uint64)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(table[raw] * power[:n], dtype=np.uint64)))
+    hashes = []
+    for seed, base in ((100, 0x2545F4914F6CDD1D), (101, 0x9E3779B97F4A7C15)):
+        table = np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, base, np.uint64))), dtype=np.uint64)
+        back = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64))), dtype=np.uint64)
+        hashes.append((np.concatenate((np.zeros(1, np.uint64), np.cumsum(table[raw] * power[:n], dtype=np.uint64))), back))
     many = asked["more"].astype(np.int64) + 1
     length = many + width - 1
     begin = np.cumsum(length) - length
     run = np.repeat(np.arange(len(many)), many)
     number = np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many)
     at = begin[run] + number
-    value = (sums[at + width] - sums[at]) * back[at]
+    value, more = ((sums[at + width] - sums[at]) * back[at] for sums, back in hashes)
     group = np.zeros(len(many), np.int64)
     order = multikey_order(asked["a"], asked["b"])
     group[order] = np.cumsum(_firsts(take({"a": asked["a"], "b": asked["b"]}, order), "a", "b"))
     earlier = np.empty(len(many), np.int64)
     earlier[np.lexsort((asked["q"], asked["loc"], asked["doc"]))] = np.arange(len(many))
     place = group[run] * 256 + asked["left"][run].astype(np.int64) - number  # group, and the anchor's place in the window
-    order = multikey_order(value, place, earlier[run])
+    order = multikey_order(value, more, place, earlier[run])
     first = np.ones(len(order), bool)
-    first[1:] = (value[order][1:] != value[order][:-1]) | (place[order][1:] != place[order][:-1])
+    first[1:] = (value[order][1:] != value[order][:-1]) | (more[order][1:] != more[order][:-1]) | (place[order][1:] != place[order][:-1])
     again = np.sort(order[~first])
     return run[again], number[again]
 
@@ -329,7 +333,7 @@ def _keeper(uri: str, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, folder = filesystem(uri)
         for key, rows in by_key(batches):
-            with files.open_input_file(f"{folder}/{key}") as f:
+            with files.open_input_file(f"{folder}/{_name(rows)}") as f:
                 table = pq.read_table(f)
             own = unpack(_SPAN, table.schema.metadata[b"spans"])[0]
             spans = joined(_SPAN, [own, *(unpack(_SPAN, d)[0] for k, d in rows if k == SPANS)])
@@ -402,7 +406,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = False)
     splitters = np.unique(sampled[np.linspace(0, len(sampled) - 1, buckets + 1)[1:-1].astype(int)]) if len(sampled) else sampled
 
     def deal(df: DataFrame) -> DataFrame:
-        return df.repartition(buckets, "at").sortWithinPartitions("at")
+        # Buckets are numbered from 0; a file's number has its task in the high bits and its place there in the low ones.
+        to = F.shiftright("at", 16) + F.col("at").bitwiseAND(F.lit(0xFFFF))
+        return df.repartitionById(buckets, (to % buckets).cast("int")).sortWithinPartitions("at")
 
     runs = raw.mapInArrow(_reader(uri, splitters, width), KINDS)
     found = deal(runs).mapInArrow(_sorter(width), KINDS)
