@@ -286,19 +286,28 @@ def repeated_windows(asked: dict[str, np.ndarray], data: bytes, width: int = WID
     """
     raw = np.frombuffer(data, np.uint8)
     n = len(raw)
-    hashes = []
-    for seed, base in ((100, 0x2545F4914F6CDD1D), (101, 0x9E3779B97F4A7C15)):
-        table = np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, base, np.uint64))), dtype=np.uint64)
-        back = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64))), dtype=np.uint64)
-        hashes.append((np.concatenate((np.zeros(1, np.uint64), np.cumsum(table[raw] * power[:n], dtype=np.uint64))), back))
     many = asked["more"].astype(np.int64) + 1
     length = many + width - 1
     begin = np.cumsum(length) - length
     run = np.repeat(np.arange(len(many)), many)
     number = np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many)
     at = begin[run] + number
-    value, more = ((sums[at + width] - sums[at]) * back[at] for sums, back in hashes)
+
+    def hashed(seed: int, base: int) -> np.ndarray:
+        """Each window's hash; what it takes is given back before the next is made."""
+        table = np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, base, np.uint64))), dtype=np.uint64)
+        sums = table[raw]
+        sums *= power[:n]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(sums, dtype=np.uint64)))
+        out = sums[at + width]
+        out -= sums[at]
+        del sums
+        power[1:] = pow(base, -1, 1 << 64)
+        out *= np.cumprod(power, dtype=np.uint64)[at]
+        return out
+
+    value, more = hashed(100, 0x2545F4914F6CDD1D), hashed(101, 0x9E3779B97F4A7C15)
     group = np.zeros(len(many), np.int64)
     order = multikey_order(asked["a"], asked["b"])
     group[order] = np.cumsum(_firsts(take({"a": asked["a"], "b": asked["b"]}, order), "a", "b"))
