@@ -1,4 +1,6 @@
-"""What each sample's extraction gives, written by hand from the rules, as SQL VALUES.
+"""What each sample's extraction should give by the rules, as SQL VALUES.
+
+The rows were written with the extractors' output at hand, each held against the rules and changed where they differ.
 
 A line is a row, in order of emission: a symbol as kind|name|first line|last line|signature|parent, an edge as
 source|relation|target with a leading '>'. @ stands for the file. The file's own symbol comes first in every sample.
