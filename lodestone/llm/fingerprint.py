@@ -30,43 +30,67 @@ def _sum(values: Column, term) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda total, x: total + term(x))
 
 
-def _pair_of_lanes(hashes: Column, name: str):
-    """Two lanes at a time: bit i of the hashes in the low half of a long, bit i + 32 in its high half.
+#: Bit 0 of each byte of a long, and how many such longs add up without running over a byte's 7 lower bits.
+BYTES, MOST = int("01" * 8, 16), 127
 
-    Neither half can run over, as a text has fewer than 2^31 paragraphs.
+
+def _bit_counts(hashes: Column) -> Column:
+    """For each of the 64 bits, how many of the hashes have it.
+
+    Eight lanes are counted at a time, one in each byte of a long, over MOST hashes; then the bytes are summed apart.
     """
-    pair = F.lit((1 << 32) + 1)
 
-    def count(i: Column) -> Column:
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda total, x: total + F.call_function("shiftright", x[name], i).bitwiseAND(pair))
+    def eight_at_a_time(start: Column) -> Column:
+        some = F.slice(hashes, start, F.lit(MOST))
+        return F.array(*(_sum(some, lambda x, i=i: F.shiftright(x, i).bitwiseAND(F.lit(BYTES))) for i in range(8)))
 
-    return count
+    def lane(bit: Column, held: Column) -> Column:
+        return _sum(held, lambda c: F.call_function("shiftrightunsigned", F.get(c, bit.bitwiseAND(F.lit(7))), bit.bitwiseAND(F.lit(56))).bitwiseAND(F.lit(255)))
 
+    starts = F.sequence(F.lit(1), F.greatest(F.size(hashes), F.lit(1)), F.lit(MOST))
+    bound = F.array(F.transform(starts, eight_at_a_time))
+    return F.element_at(F.transform(bound, lambda held: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda bit: lane(bit, held))), 1)
 
-def vector(text: Column) -> Column:
-    """An array of longs: the count of paragraphs, the EXACT lanes, the LIKE lanes. A null text is empty: all 0."""
-    units = paragraphs(F.coalesce(text, F.lit("")))
-    hashed = F.transform(units, lambda p: F.struct(*(F.xxhash64(F.lit(f"lane{k}"), p).alias(f"h{k}") for k in range(EXACT // 2 + LIKE // 64))))
+
+def vector_of(units: Column) -> Column:
+    """The vector of an array of paragraphs: their count, the EXACT lanes, the LIKE lanes, as longs."""
+    words = EXACT // 2 + LIKE // 64
+
+    def hashes(k: int) -> Column:
+        return F.transform(units, lambda p: F.xxhash64(F.lit(f"lane{k}"), p))
+
+    hashed = F.struct(*(hashes(k).alias(f"h{k}") for k in range(words)))
 
     def lanes(h: Column) -> Column:
-        low = F.lit(MOD - 1)
-        parts = [F.array(F.size(h).cast("long"))]
+        parts = [F.array(F.size(h["h0"]).cast("long"))]
         for k in range(EXACT // 2):
-            parts.append(F.array(_sum(h, lambda x, k=k: x[f"h{k}"].bitwiseAND(low)) % MOD, _sum(h, lambda x, k=k: F.shiftrightunsigned(x[f"h{k}"], 32)) % MOD))
-        for k in range(EXACT // 2, EXACT // 2 + LIKE // 64):
-            both = F.transform(F.sequence(F.lit(0), F.lit(31)), _pair_of_lanes(h, f"h{k}"))
-            parts.append(F.transform(both, lambda x: x.bitwiseAND(F.lit(MOD - 1))))
-            parts.append(F.transform(both, lambda x: F.shiftrightunsigned(x, 32)))
-        return F.concat(*parts)
+            parts.append(F.array(_sum(h[f"h{k}"], lambda x: x.bitwiseAND(F.lit(MOD - 1))) % MOD, _sum(h[f"h{k}"], lambda x: F.shiftrightunsigned(x, 32)) % MOD))
+        return F.concat(*parts, *(_bit_counts(h[f"h{k}"]) for k in range(EXACT // 2, words)))
 
     # Hashes are bound once; in an expression used many times they would be made anew each time.
     return F.element_at(F.transform(F.array(hashed), lanes), 1)
 
 
+def vector(text: Column) -> Column:
+    """The vector of a text's paragraphs. A null text is empty: all 0."""
+    return vector_of(paragraphs(F.coalesce(text, F.lit(""))))
+
+
 def add(one: Column, other: Column, sign: int = 1) -> Column:
     """The vector of both texts' paragraphs together, or with sign -1 of the first without the second's."""
-    mods = [1 << 62, *[MOD] * (EXACT + LIKE)]
-    return F.zip_with(F.zip_with(one, other, lambda a, b: a + F.lit(sign) * b), F.array(*(F.lit(m) for m in mods)), lambda x, m: F.pmod(x, m))
+    return F.zip_with(one, other, lambda a, b: F.pmod(a + b if sign > 0 else a - b, F.lit(MOD)))
+
+
+def edited_vector(own: Column, before: Column, after: Column) -> Column:
+    """The vector of paragraphs after, from that of paragraphs before: all behind what both begin with is taken out and put in."""
+
+    def changed(x: Column) -> Column:
+        first = F.array_position(F.zip_with(x["before"], x["after"], lambda a, b: ~a.eqNullSafe(b)), True).cast("int")
+        rest = lambda units: F.when(first > 0, F.slice(units, first, F.greatest(F.size(units) - first + 1, F.lit(0)))).otherwise(F.slice(units, 1, 0))
+        return F.struct(rest(x["before"]).alias("out"), rest(x["after"]).alias("put"))
+
+    both = F.transform(F.array(F.struct(before.alias("before"), after.alias("after"))), changed)
+    return F.element_at(F.transform(both, lambda x: add(add(own, vector_of(x["put"])), vector_of(x["out"]), -1)), 1)
 
 
 def shown(v: Column) -> Column:
@@ -127,21 +151,22 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     document in descending doc_id, after the last by those of the first. Returns doc_id, n_chars, edited_sha256,
     fingerprint, edited_fingerprint, near_edited, near_next and next_id.
 
-    Texts are shuffled by id once, and both joins read that one shuffle; to the document before goes only as much of a
-    text as its edit takes, and its vector.
+    Each text's vector is made once; the edited text's is had from it by taking out and putting in the paragraphs that the
+    edit changes. Texts and vectors are shuffled by id once, and both joins read that one shuffle; to the document before
+    goes only as much of a text as its edit takes, and its vector.
 
     Nulls: a null text is empty; null ids come after all others. Rows of equal id follow one another by a hash of their
     text; equal rows follow one another, so that all but the last have their like as the next. A single row is its own
     next. Empty table: no rows. Only doc_id and text are looked at.
     """
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    texts = texts.withColumn("tie", F.xxhash64("text"))
+    texts = texts.select("doc_id", "text", F.xxhash64("text").alias("tie"), vector(F.col("text")).alias("_v"))
     ids = cut(texts.groupBy("doc_id", "tie").agg(F.max(F.length("text")).cast("long").alias("n_chars"), F.count("*").alias("copies")))
     repeated = (ids.agg(F.max("copies")).first()[0] or 0) > 1
     order = cut(next_rows(ids.drop("copies")))
     third = F.floor(F.col("prev_chars") / 3).cast("int")
     asked = texts.join(order, F.col("doc_id").eqNullSafe(F.col("next_id")) & (F.col("tie") == F.col("next_tie")))
-    given = asked.select("prev_id", "prev_tie", F.col("doc_id").alias("next_id"), F.substring(F.col("text"), F.lit(1), third).alias("_head"), vector(F.col("text")).alias("_next_vector"))
+    given = asked.select("prev_id", "prev_tie", F.col("doc_id").alias("next_id"), F.substring(F.col("text"), F.lit(1), third).alias("_head"), F.col("_v").alias("_next_vector"))
     if repeated:  # the next row may be there more than once, and is the same each time
         given = given.dropDuplicates(["prev_id", "prev_tie"])
     met = texts.join(given, F.col("doc_id").eqNullSafe(F.col("prev_id")) & (F.col("tie") == F.col("prev_tie")))
@@ -150,11 +175,12 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     if repeated:
         met = met.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "tie").orderBy("tie")))
         head = F.when(F.col("_copy") > 1, F.substring(F.col("text"), F.lit(1), F.floor(n / 3).cast("int"))).otherwise(head)
-        next_vector = F.when(F.col("_copy") > 1, vector(F.col("text"))).otherwise(next_vector)
+        next_vector = F.when(F.col("_copy") > 1, F.col("_v")).otherwise(next_vector)
         next_id = F.when(F.col("_copy") > 1, F.col("doc_id")).otherwise(next_id)
     kept = F.substring(F.col("text"), F.lit(1), (n - F.floor(n / 3)).cast("int"))
-    edited = met.select("doc_id", "text", n.alias("n_chars"), F.concat(kept, head).alias("_edited"), next_vector.alias("_n"), next_id.alias("next_id"))
-    seen = edited.select("doc_id", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), vector(F.col("text")).alias("_v"), vector(F.col("_edited")).alias("_e"), "_n", "next_id")
+    edited = met.select("doc_id", "text", n.alias("n_chars"), "_v", F.concat(kept, head).alias("_edited"), next_vector.alias("_n"), next_id.alias("next_id"))
+    after = edited_vector(F.col("_v"), paragraphs(F.col("text")), paragraphs(F.col("_edited")))
+    seen = edited.select("doc_id", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), "_v", after.alias("_e"), "_n", "next_id")
     return seen.select(
         "doc_id", "n_chars", "edited_sha256", shown(F.col("_v")).alias("fingerprint"), shown(F.col("_e")).alias("edited_fingerprint"),
         likeness(F.col("_v"), F.col("_e")).alias("near_edited"), likeness(F.col("_v"), F.col("_n")).alias("near_next"), "next_id",
