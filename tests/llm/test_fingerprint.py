@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.llm.fingerprint import add, compare_with_edits, fingerprint, likeness, vector
+from lodestone.llm.fingerprint import add, compare_with_edits, edited_vector, fingerprint, likeness, paragraphs, vector
 from lodestone.llm.queries import QUERIES
 
 
@@ -47,6 +47,16 @@ def test_insertion_and_deletion(spark):
     assert r["i"] and r["d"]
 
 
+def test_edited_vector(spark):
+    """An edit's vector from the text's is that of the edited text, wherever the edit begins or ends, ends of paragraphs too."""
+    text = "a one. b two!  c three\n\nd four.\ne five? f six\n" * 9
+    pairs = [(text, text[:k] + head) for k in range(0, len(text), 7) for head in ("", " x. y", "\n\nz", text[:k])]
+    pairs += [("", ""), ("", "x. y"), ("x. y", ""), (text, text), ("\n" * 300, "a\n" * 300)]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", vector(F.col("a")).alias("v"), vector(F.col("b")).alias("w"))
+    got = df.select(edited_vector(F.col("v"), paragraphs(F.col("a")), paragraphs(F.col("b"))).alias("e"), "w")
+    assert got.filter("e <> w").count() == 0 and got.count() == len(pairs)
+
+
 def test_likeness(spark):
     lines = [f"line number {i} of it" for i in range(60)]
     df = spark.createDataFrame([("\n".join(lines), "\n".join(lines[:40] + [f"new {i}" for i in range(20)]), "\n".join(f"other {i}" for i in range(60)))], "a string, b string, c string")
