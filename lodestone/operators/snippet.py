@@ -58,15 +58,17 @@ def pincer(files: DataFrame, key: str, target: str, start: Column | int, end: Co
     sites = F.filter(F.sequence(F.lit(0), F.col("_total") - 1), lambda i: F.get(F.col("_lines"), i).contains(target + "("))
     sites = F.when(F.col("_total") > 0, sites).otherwise(F.array().cast("array<int>"))
     base = base.withColumn("_sites", sites)
-    none = F.array().cast("array<struct<lo:int,hi:int>>")
 
-    def widen(done: Column, c: Column) -> Column:
-        lo, hi = F.greatest(F.lit(0), c - radius), F.least(F.col("_total"), c + radius + 1)
-        joins = (F.size(done) > 0) & (lo <= F.get(done, F.size(done) - 1)["hi"])
-        grown = F.concat(F.slice(done, 1, F.greatest(F.lit(0), F.size(done) - 1)), F.array(F.struct(F.get(done, F.size(done) - 1)["lo"].alias("lo"), hi.alias("hi"))))
-        return F.when(joins, grown).otherwise(F.concat(done, F.array(F.struct(lo.alias("lo"), hi.alias("hi")))))
+    def low_of(c: Column) -> Column:
+        return F.greatest(F.lit(0), c - radius)
 
-    base = base.withColumn("_regions", F.aggregate("_sites", none, widen))
+    def high_of(c: Column) -> Column:
+        return F.least(F.col("_total"), c + radius + 1)
+
+    # Windows are equally wide and ordered, so one begins a region if it doesn't touch that of the call before.
+    begins = F.filter("_sites", lambda c, i: (i == 0) | (low_of(c) > high_of(F.get(F.col("_sites"), i - 1))))
+    ends = F.filter("_sites", lambda c, i: (i == F.size("_sites") - 1) | (low_of(F.get(F.col("_sites"), i + 1)) > high_of(c)))
+    base = base.withColumn("_regions", F.zip_with(begins, ends, lambda b, e: F.struct(low_of(b).alias("lo"), high_of(e).alias("hi"))))
 
     def block(r: Column) -> Column:
         body = F.array_join(F.slice(F.col("_lines"), r["lo"] + 1, r["hi"] - r["lo"]), "\n")

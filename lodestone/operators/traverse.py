@@ -62,11 +62,12 @@ def query(graph: Graph, start: str, depth: int = 2, mask: int = ALL_RELATIONS, r
 def min_depths(graph: Graph, start: str, depth: int, mask: int = ALL_RELATIONS) -> DataFrame:
     """name, depth: the least number of steps to each name reached, without an order and without a cap, by joins alone.
 
-    Each level keeps what it has found by checkpoint, so that a lost executor doesn't cost the levels before.
+    Each level keeps what it has found by checkpoint, so that a lost executor doesn't cost the levels before. Edges are
+    not made distinct: only the names that a level meets are.
     """
     from lodestone.plans.numbering import cut
 
-    edges = graph.edges.filter(in_mask(F.col("relation"), mask)).select("src", F.col("dst").alias("name")).distinct()
+    edges = graph.edges.filter(in_mask(F.col("relation"), mask)).select("src", F.col("dst").alias("name"))
     reached = edges.sparkSession.createDataFrame([(start, 0)], "name string, depth int")
     for level in range(1, depth + 1):
         front = reached.filter(F.col("depth") == level - 1).select(F.col("name").alias("src"))
