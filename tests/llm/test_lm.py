@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyarrow.fs import FileSelector
 
 from lodestone.llm import lm
 from lodestone.llm.queries import QUERIES
@@ -140,3 +141,38 @@ def test_contexts_grow_with_the_corpus(spark):
     for these in (rows, rows + more):
         got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame([*these, (9999, "a m m x"), (9998, "a m m y")], "doc_id long, text string").coalesce(2)).collect()}
         assert got[9999] > got[9998] + 1
+
+
+def test_numbers_that_are_sent():
+    rng = np.random.default_rng(0)
+    n, held = (np.concatenate((rng.integers(0, most, 1000), [0, most])) for most in (3, 1 << 30))
+    assert all((a == b).all() for a, b in zip(lm._untimes(lm._times(n, held)), (n, held), strict=True))
+    bucket = np.sort(rng.integers(0, 5, 1000))
+    context, word = rng.integers(0, 1 << 40, 300)[rng.integers(0, 300, 1000)], rng.integers(0, 1 << 30, 1000)
+    order = np.lexsort((word, context, bucket))
+    context, word = context[order], word[order]
+    rows = list(lm._bucketed(1, 7, lm._ASK_PAIR, {"context": context, "word": word, "times": np.ones(1000, np.int64)}, bucket))
+    back = [lm._unbucketed(lm._ASK_PAIR, r[3]) for r in rows]
+    assert [r[1] for r in rows for _ in lm._unbucketed(lm._ASK_PAIR, r[3])["word"]] == bucket.tolist()
+    assert (np.concatenate([b["context"] for b in back]) == context).all() and (np.concatenate([b["word"] for b in back]) == word).all()
+    assert not list(lm._bucketed(1, 7, lm._ASK_PAIR, {"context": context[:0], "word": word[:0], "times": word[:0]}, bucket[:0]))
+
+
+def test_what_is_written(spark, docs, plain, monkeypatch):
+    """All that is shuffled and kept is less than the text; by hashes it was 1.56 times that."""
+    store, folders, scratch = spark.sparkContext._jsc.sc().statusStore(), [], lm.scratch
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        found = store.executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    monkeypatch.setattr(lm, "scratch", lambda *a: folders.append(scratch(*a)) or folders[-1])
+    dealt = docs.select("doc_id", "text").coalesce(2).cache()
+    dealt.count()
+    before = shuffled()
+    lm.score(dealt, least=5).write.format("noop").mode("overwrite").save()
+    files, folder = lm.filesystem(folders[0])
+    kept = sum(f.size for f in files.get_file_info(FileSelector(folder, recursive=True)))
+    text = sum(len(t.encode()) for _, t in plain if t)
+    assert shuffled() - before + kept < text
