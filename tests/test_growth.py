@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 from lodestone.operators import search, traverse
 from lodestone.plans.numbering import numbered, stored
 from lodestone.plans.store import Graph
+from lodestone.samples import SAMPLES, sample_files
+from lodestone.sources.extract.lex import C, lex
+from lodestone.sources.files import extract_rows
 from lodestone.sources.projection import ORDER, Projection, graph_of
 
 
@@ -53,3 +56,17 @@ def test_least_depths_by_either_join(spark):
     edges = spark.createDataFrame([(i, f"v{i % 17}", f"v{i * 5 % 17}", "f", 0) for i in range(60)] + [(60, "a", "v1", "f", 0)], "edge_id long, src string, dst string, file_path string, relation int")
     sent, dealt = (sorted(tuple(r) for r in traverse.min_depths(Graph(edges, edges), "a", 4, sent=n).collect()) for n in (100, 0))
     assert sent == dealt and sent[0][1] > 0
+
+
+def test_only_the_files_rows_are_sent_if_wanted(spark):
+    files = sample_files(spark, list(SAMPLES))
+    sent, every = extract_rows(files, files_only=True), extract_rows(files)
+    assert sorted(map(tuple, sent.collect())) == sorted(map(tuple, every.filter("emit_ord = 0").collect()))
+
+
+def test_blanks_before_tokens_change_no_place():
+    text = "\t #define A \\\n 1\n  int\t a ; // b\n /* c\n */ #x \t \n"
+    assert [(t.kind, t.text, t.start, t.line) for t in lex(text, C)] == [
+        ("directive", "#define A \\\n 1", 2, 1), ("name", "int", 19, 3), ("name", "a", 24, 3), ("punct", ";", 26, 3), ("punct", "#", 43, 5), ("name", "x", 44, 5),
+    ]
+    assert lex(" \t ", C) == []
